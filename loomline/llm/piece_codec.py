@@ -153,15 +153,11 @@ class Normalizer:
             starts = _character_starts(text, starts)
         first = 0
         if self.strip:
+            first = self._first(text)
+            if first == end:
+                return Normal(b"", np.zeros(1, np.int64))
             blank = flat == 0x20
             keep = ~(blank & np.concatenate(([True], blank[:-1])))
-            lead = np.flatnonzero(~blank)
-            if not len(lead):
-                return Normal(b"", np.zeros(1, np.int64))
-            first, last = self._first(text), lead[-1]
-            if last + 1 < len(flat):
-                end = int(starts[last + 1])
-            keep[last + 1 :] = False
             flat, starts = flat[keep], starts[keep]
         blank = flat == 0x20
         symbol = np.frombuffer(SPACE_BYTES if self.escape else b" ", np.uint8)
@@ -174,9 +170,16 @@ class Normalizer:
                 out[hit + k] = symbol[k]
         if self.dummy and not self.suffix:
             out, where = np.concatenate((symbol, out)), np.concatenate((np.full(len(symbol), first), where))
-        elif self.dummy:
-            out, where = np.concatenate((out, symbol)), np.concatenate((where, np.full(len(symbol), end)))
-        return Normal(out.tobytes(), np.append(where, end))
+        normal = out.tobytes()
+        if self.strip:
+            n = len(normal)
+            while normal.endswith(symbol.tobytes(), 0, n):
+                n -= len(symbol)
+                end = int(where[n])
+            normal, where = normal[:n], where[:n]
+        if self.dummy and self.suffix:
+            normal, where = normal + symbol.tobytes(), np.concatenate((where, np.full(len(symbol), end)))
+        return Normal(normal, np.append(where, end))
 
 
 def _character_starts(text: str, starts: np.ndarray) -> np.ndarray:
