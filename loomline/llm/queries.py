@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from loomline.llm import license_sql
 from loomline.llm.license_scan import license_scan
+from loomline.llm.media import media_column, media_features
 from loomline.llm.piece_codec import piece_codec
+from loomline.llm.simhash import simhash_components
 from loomline.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +42,21 @@ def op6_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op8_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_media(spark, sf_dir):
+    return media_features(media_column(table(spark, sf_dir, "documents")))
+
+
 SQL["op6_license_scan"] = license_sql.sql()
