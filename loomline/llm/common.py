@@ -29,8 +29,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def squeezed(text):
+    """The words of a text (what ASCII white space separates) with one space between."""
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
+def n_words(words):
+    """How many words a squeezed text has."""
+    return (
+        F.when(words == "", F.lit(0))
+        .otherwise(F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "))) + 1)
+        .cast("long")
+    )
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

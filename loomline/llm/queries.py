@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import license_sql
+from loomline.llm import license_sql, mixing
 from loomline.llm.license_scan import license_scan
 from loomline.llm.media import media_column, media_features
 from loomline.llm.piece_codec import piece_codec
+from loomline.llm.sharding import shard
 from loomline.llm.simhash import simhash_components
 from loomline.llm.token_counts import token_counts
 
@@ -37,6 +38,27 @@ def op2_piece_codec(spark, sf_dir):
     )
 
 
+@query
+def op3_sharding(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_mixing"] = mixing.SQL
+
+
 @query
 def op6_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
