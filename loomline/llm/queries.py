@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import license_sql, mixing
+from loomline.llm import license_sql, mixing, quality
 from loomline.llm.license_scan import license_scan
 from loomline.llm.media import media_column, media_features
 from loomline.llm.piece_codec import piece_codec
@@ -76,6 +76,12 @@ def op8_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op10_media(spark, sf_dir):
     return media_features(media_column(table(spark, sf_dir, "documents")))
