@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import license_sql, mixing, quality
+from loomline.llm.html_text import extract
 from loomline.llm.license_scan import license_scan
 from loomline.llm.media import media_column, media_features
 from loomline.llm.piece_codec import piece_codec
@@ -51,6 +52,11 @@ def op3_sharding(spark, sf_dir):
     )
 
 
+@query
+def op4_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
