@@ -72,12 +72,13 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """One row per document: ``keep``, size, source_size, target, taken, passes, position.
+    """One row per document: ``keep``, size, source_size, target, taken, passes, position, positions.
 
     ``size`` counts words (what ASCII white space separates; a null text has 0). ``taken`` is how many words the mix
     takes: the source's order is read through again and again until the target, rounded to whole words, is reached, so
     one document of a source may be taken in part. ``passes`` is the number of whole copies that fits this best (a part
-    of at least half counts). ``position`` is the first training time, null for what isn't taken.
+    of at least half counts). ``position`` is the first training time, null for what isn't taken; ``positions`` has one
+    for each pass.
 
     Order within a source: the md5 of the id as text, then of the text. Repeated rows are taken like any others; a null
     id counts as the text ''; a null source is a source. Documents without words take nothing. Each source is dealt to
@@ -125,16 +126,26 @@ def mix(
         .withColumn("goal", goal)
         .withColumn("whole", whole)
         .withColumn("taken", (F.col("whole") * F.col("size") + part).cast("long"))
+        .withColumn(
+            "passes", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+        )
         .select(
             *[F.col(x).alias(k) for k, x in zip(keep, names, strict=True)],
             "size",
             "source_size",
             "target",
             "taken",
-            F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("passes"),
+            "passes",
             F.when(
                 F.col("taken") > 0, F.round(position(F.col("start").cast("double"), F.col("target"), F.col("tilt")), 9)
             ).alias("position"),
+            F.when(
+                F.col("passes") > 0,
+                F.transform(
+                    F.sequence(F.lit(0), F.col("passes") - 1),
+                    lambda k: position((F.col("start") + k * F.col("source_size")).cast("double"), F.col("target"), F.col("tilt")),
+                ),
+            ).alias("positions"),
         )
     )
     return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(

@@ -15,6 +15,7 @@ from loomline.llm.piece_codec import piece_codec
 from loomline.llm.sharding import shard
 from loomline.llm.simhash import simhash_components
 from loomline.llm.token_counts import token_counts
+from loomline.llm.vector_dedup import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,9 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
-def op2_piece_codec(spark, sf_dir):
-    return piece_codec(table(spark, sf_dir, "documents")).select(
+def piece_digests(coded: DataFrame) -> DataFrame:
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -39,6 +39,16 @@ def op2_piece_codec(spark, sf_dir):
     )
 
 
+@query
+def op1_vector_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_piece_codec(spark, sf_dir):
+    return piece_digests(piece_codec(table(spark, sf_dir, "documents")))
+
+
 @query
 def op3_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents")).select(
@@ -59,7 +69,7 @@ def op4_html_text(spark, sf_dir):
 
 @query
 def op5_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
 
 
 SQL["op5_mixing"] = mixing.SQL

@@ -172,18 +172,28 @@ def simhash_components(
     radius: int = 3,
     shingle: int = 3,
     per_shard: int = 20_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, fp (long), component_id (the smallest id reachable over links of ``radius`` or less).
+    """One row per document: id, ``keep``, fp (long), class_fp (one fingerprint of its component) and component_id (the
+    smallest id reachable over links of ``radius`` or less).
 
     A null or empty text has fingerprint 0 and links like any other. Repeated rows each stay; a null id counts as
     larger than any other when the smallest is taken, and is null only if all of a component are. Other columns don't
     enter the result. An empty table gives an empty result.
     """
-    fps = staged(fingerprints(docs.select(id_col, text_col), text_col, (id_col,), shingle), "fingerprints")
-    points = staged(fps.groupBy("fp").agg(F.min(id_col).alias("low")), "points")
+    names = ["__id", *(f"__k{i}" for i in range(len(keep)))]
+    rows = docs.select(*[F.col(c).alias(a) for c, a in zip((id_col, *keep), names, strict=True)], F.col(text_col).alias("__t"))
+    fps = staged(fingerprints(rows, "__t", tuple(names), shingle), "fingerprints")
+    points = staged(fps.groupBy("fp").agg(F.min("__id").alias("low")), "points")
     found = connected_components(near_links(points.select("fp"), radius, per_shard))
     linked = points.join(found, F.col("fp") == F.col("node"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    classes = linked.join(lowest, "root").select("fp", "lowest")
-    classes = classes.unionByName(points.join(found, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("low").alias("lowest")))
-    return fps.join(classes, "fp").select(id_col, "fp", F.col("lowest").alias("component_id"))
+    alone = points.join(found, F.col("fp") == F.col("node"), "left_anti")
+    classes = linked.join(lowest, "root").select("fp", "root", "lowest")
+    classes = classes.unionByName(alone.select("fp", F.col("fp").alias("root"), F.col("low").alias("lowest")))
+    return fps.join(classes, "fp").select(
+        *[F.col(a).alias(c) for a, c in zip(names, (id_col, *keep), strict=True)],
+        "fp",
+        F.col("root").alias("class_fp"),
+        F.col("lowest").alias("component_id"),
+    )
