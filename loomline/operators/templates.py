@@ -99,11 +99,11 @@ def _merge(rows: list[tuple[list[str], int, int]]) -> list[list]:
     return out
 
 
-def merged(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def merged(lines: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 64) -> DataFrame:
     """Templates after the merge: template, cnt, first_pos, n_forms, example, level.
 
     Equal masked lines are aggregated first, so the ordered merge sees distinct forms only. It runs by key (level, class,
-    number of tokens, first two words), for which it is independent. Errors only merge with equal words.
+    number of tokens, first two words), for which it is independent; keys are dealt to ``buckets`` tasks by hash. Errors only merge with equal words.
     """
     forms = exact(lines, keys).withColumn("toks", F.split("template", " ", -1))
     words = F.filter("toks", lambda t: t.rlike("^[^0-9<]*[A-Za-z][^0-9<]*$"))
@@ -120,19 +120,18 @@ def merged(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     out = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_pos", "example"])
-        examples = dict(zip(pdf["first_pos"], pdf["example"], strict=True))
-        found = _merge(list(zip(map(list, pdf["toks"]), pdf["cnt"], pdf["first_pos"], strict=True)))
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame(
-            [
-                {**head, "template": " ".join(t[0]), "cnt": t[1], "first_pos": t[2], "n_forms": t[3],
-                 "example": examples[t[2]], "is_err": bool(pdf["is_err"].iloc[0])}
-                for t in found
-            ]
-        )
-
-    return schema.groupBy(*keys, "grp").applyInPandas(
+        rows = []
+        for _, part in pdf.sort_values(["first_pos", "example"]).groupby([*keys, "grp"], sort=False, dropna=False):
+            examples = dict(zip(part["first_pos"], part["example"], strict=True))
+            found = _merge(list(zip(map(list, part["toks"]), part["cnt"], part["first_pos"], strict=True)))
+            head, err = {k: part[k].iloc[0] for k in keys}, bool(part["is_err"].iloc[0])
+            for toks, cnt, first, n, _ in found:
+                rows.append({**head, "template": " ".join(toks), "cnt": cnt, "first_pos": first, "n_forms": n,
+                             "example": examples[first], "is_err": err})
+        return pd.DataFrame(rows)
+
+    dealt = schema.withColumn("__b", F.pmod(F.xxhash64(*keys, "grp"), F.lit(buckets)))
+    return dealt.groupBy("__b").applyInPandas(
         run, f"{out}, template string, cnt long, first_pos long, n_forms long, example string, is_err boolean"
     )
 
