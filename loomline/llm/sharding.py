@@ -25,7 +25,7 @@ from loomline.llm.common import n_words, squeezed, staged
 DIMS = ("bytes", "tokens", "rows")
 
 #: Weight of each in the dot product: the law is on bytes.
-WEIGHTS = np.array([4.0, 1.0, 1.0])
+WEIGHTS = np.array([64.0, 1.0, 1.0])
 
 
 def pack(items: np.ndarray, n: int) -> np.ndarray:
