@@ -54,21 +54,25 @@ def plain_lines(lines: DataFrame, options: Options) -> DataFrame:
 
 
 def condense(runs: DataFrame, options: Options = Options()) -> DataFrame:
-    """run_id, shape, n_raw, n_out, lossy, view for every run. A null output is an empty one; run ids are unique."""
-    ready = prepared(runs)
+    """run_id, shape, n_raw, n_out, lossy, view for every run. A null output is an empty one; run ids are unique.
+
+    Cleaned runs, the kept lines and the shaped ones feed several branches each: they are persisted (spilling to disk,
+    recomputed if an executor is lost) until the caller clears the cache.
+    """
+    ready = prepared(runs).persist()
     small = F.col("n_raw") <= options.small
     big = ready.where(~small)
     lines = L.explode(big, "text", ["run_id", "reader", "kind"])
     gate = templates.log_gate(lines.where("kind is null")).where("is_log_run").select("run_id", F.lit(True).alias("is_log"))
     lines = lines.join(gate, "run_id", "left")
     shape = F.when(F.col("kind").isNotNull(), F.col("reader")).when(F.col("is_log"), "log").otherwise("lines")
-    lines = lines.withColumn("shape", shape)
+    lines = lines.withColumn("shape", shape).persist()
     base = ["run_id", "pos", "line"]
     read = apply(lines.where("kind is not null")).select(*base)
     logs = log_lines(lines.where("shape = 'log'").select(*base))
     plain = plain_lines(lines.where("shape = 'lines'").select(*base), options)
     shaped = read.unionByName(logs).unionByName(plain)
-    kept = B.pick(shaped, options.budget)
+    kept = B.pick(shaped.persist(), options.budget).persist()
     lost = compare.missing_errors(lines.select(*base), kept, most=options.guard)
     noted = lost.select("run_id", (F.col("pos") + F.lit(1 << 30)).cast("int").alias("pos"), "line")
     held = F.array_sort(F.collect_list(F.struct("pos", "line")))

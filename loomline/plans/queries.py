@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomline.functions import classify, patterns as P, text
 from loomline.functions.tokens import estimate, quarter_bytes
 from loomline.operators import budget, compare, history, lines as L, stacks, tables, templates
+from loomline.plans.condense import Options, condense
+from loomline.readers import apply, assign
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -705,3 +707,31 @@ def stack_fold(spark, sf_dir):
     line = F.expr(TRACE)
     rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 90).alias("run_id"), (F.col("event_id") % 90).alias("pos"), line.alias("line"))
     return stacks.fold_stacks(rows)
+
+
+@query()
+def condensed_views(spark, sf_dir):
+    """The whole engine: the log of each user as one run's output."""
+    raw = L.implode(logs(spark, sf_dir), name="raw")
+    return condense(raw.select("run_id", F.lit("app serve").alias("command"), F.lit(0).alias("exit"), "raw"), Options(budget=2000))
+
+
+@query(
+    """with l as (select c_nationkey as run_id, (row_number() over (partition by c_nationkey order by c_custkey) - 1)::int as pos,
+      c_custkey % 5 = 0 as own, c_name from customer),
+    g as (select *, count(*) over (partition by run_id, own) as n, min(pos) over (partition by run_id, own) as first from l)
+    select run_id, pos, case when own then concat('Successfully installed ', c_name) when n = 1 then
+      concat('Requirement already satisfied: ', c_name) else concat('[', n, ' requirements already met]') end as line,
+    'pip-install' as reader from g where own or pos = first"""
+)
+def reader_views(spark, sf_dir):
+    """Noise readers: synthesized installer output, one run for each customer nation."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    line = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Successfully installed "), "c_name")).otherwise(
+        F.concat(F.lit("Requirement already satisfied: "), "c_name")
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("run_id"), (F.row_number().over(w) - 1).alias("pos"), line.alias("line")
+    )
+    named = assign(rows.select("run_id").distinct().withColumn("command", F.lit("sudo pip install -r all.txt")))
+    return apply(rows.join(named, "run_id"))
