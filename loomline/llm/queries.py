@@ -44,6 +44,22 @@ def op1_vector_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs, plainly: for the small table of the SQL check.
+SQL["op1_vector_dedup"] = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b from v as a join v as b
+    on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(node, root) as (
+  select vec_id, vec_id from embeddings union select l.b, r.root from r join l on l.a = r.node),
+c as (select node, min(root) as component_id from r group by 1),
+n as (select a, count(*) as n from l group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join c on node = vec_id left join n on a = vec_id"""
+
+
 @query
 def op2_piece_codec(spark, sf_dir):
     return piece_digests(piece_codec(table(spark, sf_dir, "documents")))
