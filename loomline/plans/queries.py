@@ -625,13 +625,13 @@ def gain_by_cmd(spark, sf_dir):
 
 
 @query(
-    f"""with {H}, d as (select t::date as day, {GAIN} from h where id % 400 = 0 group by 1),
+    f"""with {H}, d as (select t::date as day, {GAIN} from h where raw > 20000 group by 1),
     s as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from d)
     select strftime(s.day, '%Y-%m-%d') as day, coalesce(n, 0) as n, coalesce(raw, 0) as raw, coalesce(out, 0) as out, coalesce(saved, 0) as saved,
     coalesce(pct, 0) as pct, coalesce(failures, 0) as failures from s left join d on s.day = d.day"""
 )
 def gain_daily_dense(spark, sf_dir):
-    found = history.daily(runs(spark, sf_dir).where("id % 400 = 0"))
+    found = history.daily(runs(spark, sf_dir).where("raw > 20000"))
     return found.withColumn("day", F.col("day").cast("string"))
 
 
@@ -688,12 +688,13 @@ def events_merge_latest(spark, sf_dir):
 
 
 @query(
-    f"""with {LOGS}, {TEMPLATES}, s as (select distinct template from t where run_id % 2 = 0)
+    f"""with {LOGS}, {TEMPLATES}, s as (select distinct template from t where l = 2)
     select count(distinct t.template) as n_templates, count(distinct s.template) as n_shown from t left join s using (template)"""
 )
 def template_coverage(spark, sf_dir):
-    found = templates.exact(logs(spark, sf_dir)).select("run_id", "template")
-    shown = found.where("run_id % 2 = 0").select(F.col("template").alias("s")).distinct()
+    """How many of all templates a view of the errors alone would show."""
+    found = templates.exact(logs(spark, sf_dir)).select("template", "is_err")
+    shown = found.where("is_err").select(F.col("template").alias("s")).distinct()
     both = found.join(shown, F.col("template") == F.col("s"), "left")
     return both.agg(F.countDistinct("template").alias("n_templates"), F.countDistinct("s").alias("n_shown"))
 
