@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import connected_components, staged
 
-LEAF = 256
+LEAF = 512
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -63,21 +63,22 @@ def _far(points: np.ndarray, pivot: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ pivot)
 
 
-def split(points: np.ndarray, radius: int, tries: int = 8) -> tuple[np.uint64, int] | None:
+def split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64, int] | None:
     """A vantage point among the points, and the distance that leaves the fewest points on the border.
 
     The distance lies between the 30th and 70th percentile of the points' distances; None where all lie alike.
     """
     best = None
     for pivot in points[np.linspace(0, len(points) - 1, min(tries, len(points))).astype(int)]:
-        d = np.bincount(_far(points, pivot), minlength=65 + radius)
-        inside = np.cumsum(d)
-        for cut in range(64):
-            n = inside[cut]
-            if 0.3 * len(points) <= n <= 0.7 * len(points):
-                border = inside[min(cut + radius, 64)] - n
-                if best is None or border < best[0]:
-                    best = (border, pivot, cut)
+        inside = np.cumsum(np.bincount(_far(points, pivot), minlength=65 + radius))
+        border = np.where(
+            (inside[:64] >= 0.3 * len(points)) & (inside[:64] <= 0.7 * len(points)),
+            inside[radius : 64 + radius] - inside[:64],
+            len(points) + 1,
+        )
+        cut = int(border.argmin())
+        if border[cut] <= len(points) and (best is None or border[cut] < best[0]):
+            best = (border[cut], pivot, cut)
     return best and (best[1], best[2])
 
 
@@ -127,8 +128,13 @@ def links(points: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray
             if len(inner) < 0.95 * len(part):
                 todo += [inner, outer]
                 continue
+        if len(part) <= leaf:
+            near = np.bitwise_count(part[:, None] ^ part) <= radius
+            near[np.arange(len(part)), np.arange(len(part))] = False
+            rest = part[near.any(axis=1)]  # most leaves have no link
+        else:
+            rest = part
         # Walk from point to point; each step looks only at what hasn't been reached.
-        rest = part
         while len(rest) > 1:
             root, rest = rest[0], rest[1:]
             front = [root]
@@ -162,7 +168,9 @@ def near_links(points: DataFrame, radius: int, per_shard: int = 20_000, sample:
         a, b = links(pdf["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return points.mapInArrow(route, "shard long, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+    # As many tasks as shards: their work isn't told by their bytes.
+    routed = points.mapInArrow(route, "shard long, fp long").repartition(2**depth, "shard")
+    return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def simhash_components(
