@@ -3,10 +3,12 @@
 Two parts, both over whole texts:
 
 * *base phrases*: places where the words of a phrase stand one after another;
-* *templates*: a block (a line of the text) meets a template when it holds at least ``threshold`` of the template's
-  distinct words. Template words are ordered by their frequency in the whole corpus, rarest first. A block that meets
-  a template must hold a word of the template's prefix (its ``|T| - need + 1`` rarest words), must have ``need`` words
+* *templates*: a block meets a template when it holds at least ``threshold`` of the template's distinct words. Blocks are
+  the lines of the text, and, as notices are wrapped over lines, all runs of consecutive words of the whole text that
+  are a quarter longer than the template (the quarter is for words that lead wrapped lines, such as dnl or REM).
+  Template words are ordered by their frequency in the whole corpus, rarest first. A block that meets a template must hold a word of the template's prefix (its ``|T| - need + 1`` rarest words), must have ``need`` words
   (length filter), and from the first common word on both sides must leave room for ``need`` (positional filter).
+  Runs of words are looked at only in texts that hold ``need`` words at all, and where ``need`` places lie close enough.
   The filters only prune: what passes is counted exactly, so the labels don't depend on the order.
 
 Only the template side is a literal in the plan; it is as large as the dictionary given, not as the data.
@@ -58,6 +60,11 @@ def template_words(templates: Mapping[str, str]) -> dict[str, list[str]]:
     return {k: sorted(set(re.findall(LOWER_WORD, v.lower()))) for k, v in templates.items()}
 
 
+def template_spans(templates: Mapping[str, str]) -> dict[str, int]:
+    """Words in a run that is held against the template."""
+    return {k: math.ceil(1.25 * len(re.findall(LOWER_WORD, v.lower()))) for k, v in templates.items()}
+
+
 def global_order(docs: DataFrame, text_col: str, vocabulary: list[str]) -> list[str]:
     """Template words, rarest in the corpus first. A count over all texts; at most ``|vocabulary|`` rows come back."""
     if not vocabulary:
@@ -90,16 +97,19 @@ class Template:
     label: str
     words: list[str]  # rarest first
     need: int
+    span: int
 
     @property
     def prefix(self) -> list[str]:
         return self.words[: len(self.words) - self.need + 1]
 
 
-def ordered_templates(table: dict[str, list[str]], order: list[str], threshold: float) -> list[Template]:
+def ordered_templates(
+    table: dict[str, list[str]], spans: dict[str, int], order: list[str], threshold: float
+) -> list[Template]:
     rank = {w: i for i, w in enumerate(order)}
     need = lambda ws: max(1, math.ceil(threshold * len(ws) - 1e-9))
-    return [Template(k, sorted(ws, key=rank.__getitem__), need(ws)) for k, ws in table.items() if ws]
+    return [Template(k, sorted(ws, key=rank.__getitem__), need(ws), spans[k]) for k, ws in table.items() if ws]
 
 
 def template_hits(text: str, templates: list[Template], order: list[str], block_sep: str) -> Column:
@@ -128,6 +138,32 @@ def template_hits(text: str, templates: list[Template], order: list[str], block_
           x -> named_struct('label', x.t.label, 'containment', size(x.c) / double(size(x.t.words))))))""")
 
 
+def window_hits(words: str, templates: list[Template], order: list[str]) -> Column:
+    """array<struct<label, containment>> of the templates that some run of words meets; ``words``: the text's words with
+    one space between."""
+    rows = ", ".join(
+        f"named_struct('label', '{t.label}', 'words', {_strings(t.words)}, 'need', {t.need}, 'span', {t.span})" for t in templates
+    )
+    # x.d: template words of the text; h: places (i) of the template's words (x); n: distinct ones in the run from a place
+    return F.expr(f"""
+      flatten(transform(
+        transform(
+          array(split(translate({words}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ')),
+          w -> named_struct('w', w, 'd', array_intersect({_strings(order)}, w))),
+        x -> filter(
+          transform(
+            filter(array({rows}), t -> size(array_intersect(t.words, x.d)) >= t.need),
+            t -> named_struct('label', t.label, 'containment', coalesce(array_max(transform(
+              array(filter(transform(x.w, (v, i) -> named_struct('i', i, 'x', v)), e -> array_contains(t.words, e.x))),
+              h -> array_max(transform(
+                filter(transform(h, (e, j) -> named_struct('i', e.i, 'j', j)),
+                       e -> coalesce(get(h, e.j + t.need - 1).i < e.i + t.span, false)),
+                e -> size(array_distinct(transform(
+                  filter(slice(h, e.j + 1, t.span), g -> g.i < e.i + t.span), g -> g.x))))))), 0)
+              / double(size(t.words)), 'need', t.need / double(size(t.words)))),
+          r -> r.containment >= r.need - 1e-9)))""")
+
+
 def license_scan(
     docs: DataFrame,
     text_col: str = "text",
@@ -140,7 +176,7 @@ def license_scan(
     """One row per document: ``keep``, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``n_base`` counts all places of base phrases; ``first_word``/``last_word`` are their smallest and largest starts in
-    words from 0. ``labels`` adds the templates that a block meets. ``score`` is the largest containment of a template
+    words from 0. ``labels`` adds the templates that a block (a line or a run of words over lines) meets. ``score`` is the largest containment of a template
     that is met, 1 where a base phrase stands, else 0.
 
     A null text is an empty one: no words, no places, empty labels, score 0. Rows with equal or null ids are judged one
@@ -149,7 +185,7 @@ def license_scan(
     """
     table = template_words(templates)
     order = global_order(docs, text_col, sorted({w for ws in table.values() for w in ws}))
-    ready = ordered_templates(table, order, threshold)
+    ready = ordered_templates(table, template_spans(templates), order, threshold)
     base = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
 
     # The words with one space between. Plain byte searches in it find the few texts that the patterns and the join
@@ -177,14 +213,17 @@ def license_scan(
             ),
         )
 
-    counted = base.select(*keep, "__t", "__l", n_words.cast("long").alias("n_words"))
+    if ready:
+        runs = F.transform(window_hits("__w", ready, order), lambda x: F.struct(x["label"], x["containment"]))
+        hits = F.concat(template_hits("__t", ready, order, block_sep), runs)
+    counted = base.select(*keep, "__t", "__w", "__l", n_words.cast("long").alias("n_words"))
     found = counted.select(
         *keep,
         "n_words",
         F.when(any_phrase, F.array_compact(F.array(*[places(*x) for x in patterns])))
         .otherwise(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>"))
         .alias("__p"),
-        F.when(any_template, template_hits("__t", ready, order, block_sep) if ready else F.lit(None))
+        F.when(any_template, hits if ready else F.lit(None))
         .otherwise(F.array().cast("array<struct<label:string,containment:double>>"))
         .alias("__h"),
     )

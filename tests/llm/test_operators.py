@@ -10,7 +10,7 @@ import pytest
 
 from loomline.llm import html_text, license_sql, mixing, quality, sharding, vector_dedup
 from loomline.llm.common import connected_components
-from loomline.llm.license_scan import license_scan
+from loomline.llm.license_scan import TEMPLATES, license_scan
 from loomline.llm.piece_codec import Codec, Normalizer, default_model, piece_codec, read_charsmap
 from loomline.llm.token_counts import UnitCounter, default_tokenizer, token_counts
 
@@ -305,3 +305,37 @@ def test_pipeline(spark):
         assert x.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256(codec.library.decode(ids).encode()).hexdigest()
     assert C.run(spark, sf).count() > 0
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:"
+    gpl = (
+        "dnl This program is free software; you can redistribute it and/or modify\ndnl it under the terms of the GNU General Public License as published by\n"
+        "dnl the Free Software Foundation, either version 2"
+    )
+    far = mit.replace("\n", " filler" * 60 + "\n")
+    cut = "hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    texts = [mit, bsd, gpl, far, cut, "word " * 3000 + gpl + " word" * 3000, mit + "\n\n" + bsd]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(df).collect()}
+    assert got == {
+        0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("gpl,gpl-notice", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("gpl,gpl-notice", 1.0), 6: ("bsd,mit", 1.0),
+    }
+    r = random.Random(3)
+    words = TEMPLATES["bsd"].split()
+    texts = []
+    for _ in range(120):
+        ws = [w for w in words if r.random() > 0.04]
+        for _ in range(r.randint(0, 9)):
+            ws.insert(r.randrange(len(ws) + 1), "x")
+        texts.append("".join(w + r.choice("  \n") for w in ws))
+    want = []
+    for text in texts:
+        ws, span = text.split(), -(-len(words) * 5 // 4)
+        blocks = [set(ws[i : i + span]) for i in range(len(ws))] + [set(x.split()) for x in text.split("\n")]
+        best = max(len(b & set(words)) for b in blocks) / len(set(words))
+        want.append(best if best >= 0.9 else 0.0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in license_scan(df, phrases={}, templates={"bsd": TEMPLATES["bsd"]}).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want) and 0 < sum(x > 0 for x in want) < len(want)
