@@ -4,6 +4,9 @@ A page is cut into blocks at block-level tags. The first pass decides blocks by
 notices, comments and the like never count), by link density, length and stop-word density. Blocks that are too short
 or too poor in stop words to tell are left open; in the second pass they take the label of their nearest decided
 neighbours. Where a page marks its article, only what stands there competes.
+
+Stop words are known for English, German, French and Spanish. Where they can't judge, length and link density alone
+decide: in blocks of another script, and in pages of which prose in these languages is less than a quarter.
 """
 
 from __future__ import annotations
@@ -55,12 +58,15 @@ STOP = [frozenset(v.split()) for v in STOP_WORDS.values()]
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
 LINK_MAX = 0.5
+KNOWN_MIN = 0.25
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD_CUT = re.compile(r"[\W_]+|(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]+")
+NOT_LATIN = re.compile("[^\\W\\d_A-Za-z\u00aa-\u024f\u1e00-\u1eff]")
+WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -72,6 +78,7 @@ class Block:
     linked: int = 0
     text: str = ""
     label: str = ""
+    density: float | None = None
 
 
 @dataclass
@@ -188,17 +195,39 @@ def stop_density(text: str) -> float:
     return max((sum(w in s for w in words) for s in STOP), default=0) / len(words) if words else 0.0
 
 
-def decide(block: Block) -> str:
+def width(text: str) -> int:
+    """Length in characters; those of Chinese, Japanese and Korean count twice."""
+    return len(text) if text.isascii() else len(text) + len(WIDE.findall(text))
+
+
+def in_other_script(text: str) -> bool:
+    return not text.isascii() and 2 * len(NOT_LATIN.findall(text)) > sum(map(len, LETTERS.findall(text)))
+
+
+def full_of_links(block: Block) -> bool:
+    return block.linked > LINK_MAX * len("".join(block.text.split()))
+
+
+def in_known_language(found: list[Block]) -> bool:
+    """Whether prose in a language with stop words is a fair part of the long blocks."""
+    known = every = 0
+    for b in found:
+        if not b.dropped and len(b.text) >= LENGTH_LOW and not full_of_links(b):
+            b.density = stop_density(b.text)
+            every += len(b.text)
+            known += len(b.text) if b.density >= STOP_HIGH else 0
+    return known >= KNOWN_MIN * every
+
+
+def decide(block: Block, known: bool = True) -> str:
     """good, bad, or what the second pass settles: near (long, but poor in stop words) and short."""
-    if block.dropped:
-        return "bad"
-    size = len(block.text)
-    if block.linked > LINK_MAX * len("".join(block.text.split())):
+    if block.dropped or full_of_links(block):
         return "bad"
+    size = width(block.text)
     if size < LENGTH_LOW:
         return "short"
-    density = stop_density(block.text)
-    if density >= STOP_HIGH:
+    density = stop_density(block.text) if block.density is None else block.density
+    if density >= STOP_HIGH or not known or in_other_script(block.text):
         return "good" if size > LENGTH_HIGH or block.in_article else "near"
     if density >= STOP_LOW or block.in_article:
         return "near"
@@ -239,10 +268,10 @@ def settle(found: list[Block]) -> None:
 def main_text(html: str | None) -> str:
     """The main text of a whole page: its good blocks, joined by one space. Null and empty pages have none."""
     found = blocks(html or "")
-    for b in found:
-        b.label = decide(b)
-    inside = [b for b in found if b.in_article and not b.dropped]
-    scope = inside or [b for b in found if not b.dropped]
+    scope = [b for b in found if b.in_article and not b.dropped] or [b for b in found if not b.dropped]
+    known = in_known_language(scope)
+    for b in scope:
+        b.label = decide(b, known)
     settle(scope)
     return " ".join(b.text for b in scope if b.label == "good")
 

@@ -339,3 +339,25 @@ def test_license_notices_wrapped_over_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.score for x in license_scan(df, phrases={}, templates={"bsd": TEMPLATES["bsd"]}).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(want) and 0 < sum(x > 0 for x in want) < len(want)
+
+
+def test_html_in_other_languages():
+    bodies = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa"
+        " dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura, tanto amara che poco più morte.",
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме Облонских."
+        " Жена узнала, что муж был в связи с бывшею в их доме француженкою-гувернанткой, и объявила мужу, что не может жить с ним.",
+        "話說天下大勢分久必合合久必分周末七國分爭并入於秦及秦滅之後楚漢分爭又并入於漢漢朝自高祖斬白蛇而起義一統天下後來光武中興傳至獻帝"
+        "遂分為三國推其致亂之由殆始於桓靈二帝桓帝禁錮善類崇信宦官及桓帝崩靈帝即位大將軍竇武太傅陳蕃共相輔佐",
+        "Litwo, ojczyzno moja, ty jesteś jak zdrowie, ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej"
+        " ozdobie widzę i opisuję, bo tęsknię po tobie, panno święta, co jasnej bronisz Częstochowy i w Ostrej świecisz Bramie.",
+    ]
+    links = "<div>" + "".join(f"<a href={i}>Link {i} xxxxxxxxxxxxxxxxxx</a> " for i in range(8)) + "</div>"
+    english = "It was the end of the day and the man had to be at the house that was on the hill, so he went with her there. " * 3
+    for body in bodies:
+        assert html_text.main_text(f"{links}<div><p>{body}</p><p>{body}</p></div>{links}") == f"{body} {body}"
+        # in an article, a block of links doesn't take the rest with it
+        assert html_text.main_text(f"<article>{links}<p>{body}</p></article>") == body
+    # a paragraph of another script in an English page; a list of keywords stays out of it
+    page = f"{links}<p>{english}</p><p>{bodies[1]}</p>{links}<p>{'keyword list without function words ' * 6}</p>{links}"
+    assert html_text.main_text(page) == f"{english.strip()} {bodies[1]}"
