@@ -1,7 +1,8 @@
 """HTML extraction by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (containers of menus,
-notices, comments and the like never count), by link density, length and stop-word density. Blocks that are too short
+notices, comments and the like never count; one whose name only holds such a word, as in "related-work", counts where it
+has a long block of prose, and else gives headings and longer blocks), by link density, length and stop-word density. Blocks that are too short
 or too poor in stop words to tell are left open; in the second pass they take the label of their nearest decided
 neighbours. Where a page marks its article, only what stands there competes.
 
@@ -40,6 +41,17 @@ HINTS = frozenset(
     " related recommended recommendations widget widgets toolbar pager pagination login search copyright skip".split()
 )
 NOT_HINTS = frozenset("with has no without layout wrapper page".split())
+# What stands beside a hint in the names of such containers.
+FURNITURE = frozenset(
+    "area articles bar block blocks body bottom box btn button buttons container content count div entry form group icon"
+    " icons inner item items left link links list main meta news outer posts right section site slot stories text title top"
+    " unit wrap".split()
+)
+# Hints that hardly are the topic of a section.
+SURE_HINTS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter"
+    " subscribe popup modal overlay comment comments reply replies respond disqus".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
 
 # Frequent function words.
@@ -76,6 +88,7 @@ class Block:
     in_article: bool
     chunks: list[str] = field(default_factory=list)
     linked: int = 0
+    doubt: int = 0
     text: str = ""
     label: str = ""
     density: float | None = None
@@ -87,28 +100,43 @@ class Frame:
     dropped: bool
     hinted: bool
     in_article: bool
+    doubt: int = 0
 
 
-def _hinted(attributes: str) -> tuple[bool, bool]:
-    """(hidden or not main text by class, id or role; hidden in any case)"""
+def _hinted(attributes: str, tag: str = "", in_article: bool = False) -> tuple[bool, bool, bool]:
+    """(hidden or not main text by class, id or role; hidden in any case; perhaps not main text)"""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     style = got.get("style", "").replace(" ", "").lower()
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style:
-        return True, True
+        return True, True, False
     if got.get("role", "").lower() in ROLES:
-        return True, False
-    for name in f"{got.get('class', '')} {got.get('id', '')}".split():
-        words = {w.lower() for w in WORD_CUT.split(name)}
-        if words & HINTS and not words & NOT_HINTS:
-            return True, False
-    return False, False
+        return True, False, False
+    doubt = False
+    for kind in ("class", "id"):
+        if kind == "id" and (tag in HEADINGS or tag in ARTICLE_TAGS):
+            continue  # an anchor, named by what the text is on
+        for name in got.get(kind, "").split():
+            words = {w.lower() for w in WORD_CUT.split(name)} - {""}
+            if words & HINTS and not words & NOT_HINTS:
+                whole = words <= HINTS | FURNITURE
+                sure = bool(words & SURE_HINTS)
+                if tag in HEADINGS or tag in ARTICLE_TAGS:
+                    hinted = whole
+                elif in_article:
+                    hinted = whole and (sure or kind == "class")
+                else:
+                    hinted = whole or sure
+                if hinted:
+                    return True, False, False
+                doubt = True
+    return False, False, doubt
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks that hold text, in page order."""
     out: list[Block] = []
     stack = [Frame("", False, False, False)]
-    links = 0
+    links = doubts = 0
     now = Block("", False, False)
 
     def cut(tag: str) -> Block:
@@ -117,7 +145,7 @@ def blocks(html: str) -> list[Block]:
             if now.text:
                 out.append(now)
         top = stack[-1]
-        return Block(tag, top.dropped or top.hinted, top.in_article)
+        return Block(tag, top.dropped or top.hinted, top.in_article, doubt=top.doubt)
 
     at, n = 0, len(html)
     while at < n:
@@ -155,7 +183,7 @@ def blocks(html: str) -> list[Block]:
             now.chunks.append("\n")
         elif tag == "a":
             links = max(0, links - 1) if closing else 1
-        elif tag in BLOCK_TAGS or not closing and tag not in VOID_TAGS and m[2].strip(" /") and any(_hinted(m[2])):
+        elif tag in BLOCK_TAGS or not closing and tag not in VOID_TAGS and m[2].strip(" /") and _hinted(m[2], tag, stack[-1].in_article)[0]:
             links = 0 if tag in BLOCK_TAGS else links
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
@@ -171,14 +199,18 @@ def blocks(html: str) -> list[Block]:
                     while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag == tag == "li"):
                         stack.pop()
                     top = stack[-1]
-                hinted, hidden = _hinted(m[2]) if m[2].strip(" /") and tag not in ("html", "body") else (False, False)
+                hinted = hidden = doubt = False
+                if m[2].strip(" /") and tag not in ("html", "body"):
+                    hinted, hidden, doubt = _hinted(m[2], tag, top.in_article)
                 article = tag in ARTICLE_TAGS
+                doubts += doubt
                 frame = Frame(
                     tag,
                     top.dropped or hidden or tag in DROPPED_TAGS or tag == "header" and not top.in_article,
                     # an article within a container with a misleading name counts as one
                     (top.hinted and not article) or (hinted and tag != "main"),
                     top.in_article or article,
+                    0 if article else top.doubt or (doubts if doubt else 0),
                 )
                 stack.append(frame)
                 now = cut(tag)
@@ -272,6 +304,9 @@ def main_text(html: str | None) -> str:
     known = in_known_language(scope)
     for b in scope:
         b.label = decide(b, known)
+    if any(b.doubt for b in scope):
+        prose = {b.doubt for b in scope if b.label == "good" and width(b.text) > LENGTH_HIGH}
+        scope = [b for b in scope if not b.doubt or b.doubt in prose or b.label in ("good", "near") or b.tag in HEADINGS]
     settle(scope)
     return " ".join(b.text for b in scope if b.label == "good")
 

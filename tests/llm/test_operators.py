@@ -361,3 +361,25 @@ def test_html_in_other_languages():
     # a paragraph of another script in an English page; a list of keywords stays out of it
     page = f"{links}<p>{english}</p><p>{bodies[1]}</p>{links}<p>{'keyword list without function words ' * 6}</p>{links}"
     assert html_text.main_text(page) == f"{english.strip()} {bodies[1]}"
+
+
+def test_html_hints_in_names_of_content():
+    long = "It was the end of the day and the man had to be at the house that was on the hill, so he went with her there. " * 3
+    long = long.strip()
+    p = f"<p>{long}</p>"
+    for page, want in [
+        (f"<article>{p}<section id='related-work'><h2>Related work</h2>{p}<p>See Smith.</p></section>{p}</article>", f"{long} Related work {long} See Smith. {long}"),
+        (f"<article>{p}<h2 id='search'>Search</h2>{p}</article>", f"{long} Search {long}"),
+        (f"<article><div class='post-header'><h1>Title</h1><span>By A</span></div>{p}</article>", f"Title {long}"),
+        (f"<article id='login-guide'><h1>Login</h1>{p}</article>", f"Login {long}"),
+        (f"<main><section id='navigation'>{p}</section></main>", long),
+        (f"<main><div id='cookie-policy'>{p}<p>{long[:111]}</p></div></main>", f"{long} {long[:111]}"),
+        (f"<article><p>The <span class='search-term'>word</span> of the day. {long}</p></article>", f"The word of the day. {long}"),
+        (f"<div><div id='history-of-search'>{p}</div></div>", long),
+        # furniture stays out, long or not
+        (f"<article>{p}<div class='comment-list'>{p}</div><div id='comments'>{p}</div><div class='related-posts'>{p}</div></article>", long),
+        (f"<article>{p}<div class='share-this'>Share this</div><div id='share-this'>Share</div>{p}</article>", f"{long} {long}"),
+        (f"<div><div class='user-comment-thread'>{p}</div><div class='site-footer'>{p}</div>{p}</div>", long),
+        (f"<div id='comments'><article class='comment-body'>{p}</article></div><article>{p}</article>", long),
+    ]:
+        assert html_text.main_text(page) == want, page
