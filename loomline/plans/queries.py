@@ -635,6 +635,17 @@ def gain_daily_dense(spark, sf_dir):
     return found.withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    f"""with {H}, d as (select t::date as day, {GAIN} from h group by 1),
+    s as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from d)
+    select strftime(s.day, '%Y-%m-%d') as day, coalesce(n, 0) as n, coalesce(raw, 0) as raw, coalesce(out, 0) as out, coalesce(saved, 0) as saved,
+    coalesce(pct, 0) as pct, coalesce(failures, 0) as failures from s left join d on s.day = d.day"""
+)
+def gain_daily(spark, sf_dir):
+    """All runs; gain_daily_dense has those of more than 20,000 only."""
+    return history.daily(runs(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
 @query(f"with {H} select cmd, sum(raw)::bigint as raw, sum(out)::bigint as out, count(*) as n from h group by rollup (cmd)")
 def totals_rollup(spark, sf_dir):
     return history.totals(runs(spark, sf_dir), "cmd", raw=F.col("raw"), out=F.col("out"))

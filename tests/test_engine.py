@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomline.functions import classify, text
 from loomline.functions.tokens import estimate
 from loomline.operators import budget, lines as L, stacks, tables, templates
+from loomline.plans import queries
 from loomline.plans.condense import Options, condense
 from loomline.readers import apply, assign
 from loomline.sources import store
@@ -167,3 +168,21 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t" / "s.jsonl").write_text(json.dumps(use) + "\n" + json.dumps(result) + "\n{bad\n")
     seen = store.read_transcripts(spark, str(tmp_path / "t"))
     assert [(r.tool, r.content) for r in store.tool_calls(seen).collect()] == [("Bash", "a b")]
+
+
+def test_gain_daily_counts_all_runs_and_fills_gaps(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "click", "2024-01-01 10:00:00", 1.0), (2, "error", "2024-01-01 11:00:00", 500.0), (3, "view", "2024-01-04 23:59:59", 2.5), (4, "view", "2024-01-06 00:00:00", 0.0)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, ts string, value double")
+    events = events.selectExpr("event_id", "event_type", "cast(ts as timestamp_ntz) as ts", "value", "1L as user_id", "'{}' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.day: (r.n, r.raw, r.out, r.saved, r.pct, r.failures) for r in queries.QUERIES["gain_daily"](spark, str(tmp_path)).collect()}
+    none = (0, 0, 0, 0, 0, 0)
+    assert got == {
+        "2024-01-01": (2, 50100, 10020, 40080, 80, 1), "2024-01-02": none, "2024-01-03": none, "2024-01-04": (1, 250, 50, 200, 80, 0),
+        "2024-01-05": none, "2024-01-06": (1, 0, 0, 0, 0, 0),
+    }
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(queries.SQL["gain_daily"]).fetchall()} == got
