@@ -71,5 +71,38 @@ def goroutines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def group_goroutines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Dumps of at least two goroutines: the first stays; of others with the same frames (arguments and addresses aside) the
+    first one's frames stay, under a header with their number and states. What isn't a frame stays."""
+    header = r"^goroutine (\d+)(?: [^\[]*)? \[([^\]]*)\]:$"
+    file = r"^\s+\S+\.go:\d+(?: \+0x[0-9a-f]+)?$"
+    order = Window.partitionBy(*keys).orderBy("pos")
+    after = F.coalesce(F.lead("line").over(order).rlike(file), F.lit(False))
+    frame = F.col("line").rlike(file) | (after & F.col("line").rlike(r"^\S")) | F.trim("line").isin("...additional frames elided...")
+    marked = lines.withColumn("__head", F.col("line").rlike(header)).withColumn("__frame", frame)
+    marked = records(marked, F.col("__head"), keys)
+    inside = Window.partitionBy(*keys, "record").orderBy("pos")
+    other = F.count_if(~F.col("__head") & ~F.col("__frame")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("__in", (F.col("record") > 0) & (other == 0))
+    same = F.regexp_replace(F.regexp_replace("line", r"\([^()]*\)$|\(0x[^)]*\)", "()"), r" \+0x[0-9a-f]+$|0x[0-9a-f]+| in goroutine \d+", "")
+    frames = F.array_sort(F.collect_list(F.when(~F.col("__head"), F.struct("pos", same.alias("f")))))
+    blocks = marked.where("__in").groupBy(*keys, "record").agg(
+        F.max(F.when(F.col("__head"), F.regexp_extract("line", header, 2))).alias("__state"),
+        F.array_join(F.transform(frames, lambda x: x["f"]), "\n").alias("__same"),
+    )
+    # the first one is a group of its own
+    group = Window.partitionBy(*keys, "__same", F.col("record") == 1)
+    blocks = (
+        blocks.withColumn("__n", F.count("*").over(group))
+        .withColumn("__rep", F.min("record").over(group))
+        .withColumn("__states", F.array_join(F.array_sort(F.collect_set("__state").over(group)), ", "))
+        .drop("__same", "__state")
+    )
+    out = marked.join(blocks, [*keys, "record"], "left").where("not __in or record = __rep")
+    title = F.concat(F.col("__n").cast("string"), F.lit(" goroutines ["), "__states", F.lit("]:"))
+    line = F.when(F.col("__in") & F.col("__head") & (F.col("__n") > 1), title).otherwise(F.col("line"))
+    return out.select(*keys, "pos", line.alias("line"))
+
+
 def next_line(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return lines.withColumn("next", F.lead("line").over(by_pos(keys)))

@@ -1,7 +1,7 @@
-"""The whole engine over many runs: ``runs(run_id, command, exit, raw)`` to one view a run.
+"""The engine over many runs, ``runs(run_id, command, exit, raw)`` to one view a run; README lists what it lacks.
 
 Clean, count, keep small outputs whole; else a reader by the command, or templates for logs, or the plain shape (progress
-dropped, runs and similar lines collapsed, stacks folded, lines shortened); then the budget, the guard that puts lost
+dropped, runs collapsed, goroutines grouped, stacks folded, similar lines collapsed, lines shortened); then the budget, the guard that puts lost
 error lines back, and last the gate that never gives more than nine tenths of what came in.
 
 A run's lines stay in one partition of its id through all window functions; branches are filters on one column, and rows
@@ -49,7 +49,7 @@ def log_lines(lines: DataFrame) -> DataFrame:
 def plain_lines(lines: DataFrame, options: Options) -> DataFrame:
     out = lines.where(~is_progress(F.col("line")))
     out = L.collapse_runs(out).select("run_id", "pos", "line")
-    out = L.collapse_similar(stacks.fold_stacks(out))
+    out = L.collapse_similar(stacks.fold_stacks(stacks.group_goroutines(out)))
     return out.withColumn("line", shorten(F.col("line"), options.max_line, level(F.col("line")) == ERR))
 
 

@@ -723,7 +723,7 @@ def stack_fold(spark, sf_dir):
 
 @query()
 def condensed_views(spark, sf_dir):
-    """The whole engine: the log of each user as one run's output."""
+    """The log of each user as one run's output, condensed."""
     raw = L.implode(logs(spark, sf_dir), name="raw")
     return condense(raw.select("run_id", F.lit("app serve").alias("command"), F.lit(0).alias("exit"), "raw"), Options(budget=2000))
 

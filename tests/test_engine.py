@@ -186,3 +186,19 @@ def test_gain_daily_counts_all_runs_and_fills_gaps(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert {r[0]: r[1:] for r in con.execute(queries.SQL["gain_daily"]).fetchall()} == got
+
+
+def test_condense_groups_goroutines(spark):
+    def block(i, state, f):
+        return f"goroutine {i} [{state}]:\nmain.{f}(0xc{i:06x}, 0x1)\n\t/srv/app/{f}.go:{len(f)} +0x{i:x}\ncreated by main.start in goroutine {i % 7}\n\t/srv/app/start.go:9 +0x2b\n"
+
+    dump = "panic: all goroutines are stuck\n\n" + block(1, "running", "first")
+    dump += "\n".join([block(i, "select" if i % 2 else "IO wait, 3 minutes", "work") for i in range(2, 62)] + [block(99, "sleep", "rare")]) + "\nexit status 2"
+    runs = spark.createDataFrame([(1, "unknown-tool", 2, dump)], "run_id int, command string, exit int, raw string")
+    view = condense(runs, Options(budget=8000)).collect()[0].view.splitlines()
+    assert [x for x in view if x.startswith("goroutine ") or " goroutines [" in x] == [
+        "goroutine 1 [running]:", "60 goroutines [IO wait, 3 minutes, select]:", "goroutine 99 [sleep]:",
+    ]
+    assert sum(x.startswith("main.work(") for x in view) == 1 and view[0].startswith("panic:") and view[-1] == "exit status 2"
+    one = run_lines(spark, block(1, "running", "first").splitlines() + ["", "done"])
+    assert shown(stacks.group_goroutines(one)) == block(1, "running", "first").splitlines() + ["", "done"]
