@@ -383,3 +383,15 @@ def test_html_hints_in_names_of_content():
         (f"<div id='comments'><article class='comment-body'>{p}</article></div><article>{p}</article>", long),
     ]:
         assert html_text.main_text(page) == want, page
+
+
+def test_vectors_in_a_hot_group_have_all_links(spark):
+    g = np.random.default_rng(11)
+    base = g.standard_normal((1500, 64))
+    far = g.uniform(0.15, 0.45, (2000, 1)) * np.linalg.norm(base[0]) / 8
+    x = np.concatenate([base, base[0] + far * g.standard_normal((2000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(df, leaf=64).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.max() > 1500 and [got[i] for i in range(len(x))] == want.tolist()
