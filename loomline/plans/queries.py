@@ -547,6 +547,28 @@ def constant_columns(spark, sf_dir):
     return tables.constant_columns(table(spark, sf_dir, "nation").withColumn("x_all", F.lit("same")))
 
 
+WIDE = "select *, l_linenumber // 100 as x_hundreds, case when l_linenumber < 7 then 1 end as x_some from lineitem"
+WIDE_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus"
+    " l_shipdate x_hundreds x_some"
+).split()
+
+
+@query(
+    f"with w as ({WIDE}) "
+    + " union all ".join(
+        f"""select '{c}' as "column", min({c})::varchar as value, count(*) as n from w
+    having count(*) >= 3 and count({c}) = count(*) and count(distinct {c}) = 1"""
+        for c in WIDE_COLUMNS
+    )
+)
+def constant_columns_lineitem(spark, sf_dir):
+    """Over all line items, with a column that is constant by the data and one that is null in places."""
+    items = table(spark, sf_dir, "lineitem")
+    items = items.withColumn("x_hundreds", F.expr("l_linenumber div 100")).withColumn("x_some", F.when(F.col("l_linenumber") < 7, 1))
+    return tables.constant_columns(items.select(*WIDE_COLUMNS))
+
+
 PATHS = "select page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') as path from pages"
 
 

@@ -202,3 +202,14 @@ def test_condense_groups_goroutines(spark):
     assert sum(x.startswith("main.work(") for x in view) == 1 and view[0].startswith("panic:") and view[-1] == "exit status 2"
     one = run_lines(spark, block(1, "running", "first").splitlines() + ["", "done"])
     assert shown(stacks.group_goroutines(one)) == block(1, "running", "first").splitlines() + ["", "done"]
+
+
+def test_constant_columns_of_a_large_table(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
+    got = queries.QUERIES["constant_columns_lineitem"](spark, sf).collect()
+    assert [tuple(r) for r in got] == con.execute(queries.SQL["constant_columns_lineitem"]).fetchall()
+    assert [(r.column, r.value) for r in got] == [("x_hundreds", "0")] and got[0].n > 5000
