@@ -1,10 +1,13 @@
 """HTML extraction by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (containers of menus,
-notices, comments and the like never count; one whose name only holds such a word, as in "related-work", counts where it
-has a long block of prose, and else gives headings and longer blocks), by link density, length and stop-word density. Blocks that are too short
-or too poor in stop words to tell are left open; in the second pass they take the label of their nearest decided
-neighbours. Where a page marks its article, only what stands there competes.
+A page is cut into blocks at block-level tags. The first pass decides blocks by their text: link density, length and
+stop-word density; blocks too short or too poor in stop words to tell are left open. In the second pass open blocks take
+the label of their nearest decided neighbours, beyond a page's ends lies nothing good.
+
+Marks are priors. An ``article`` (the one with most good text), else a ``main``, narrows the page to its blocks if it holds
+a fair part of the good text; within it poverty in stop words leaves a block open, no more. Menus, forms, footers, asides
+and containers named as such are furniture; one whose name only holds such a word, as in "related-work", counts where it
+has a long block of prose, and else gives headings and longer blocks.
 
 Stop words are known for English, German, French and Spanish. Where they can't judge, length and link density alone
 decide: in blocks of another script, and in pages of which prose in these languages is less than a quarter.
@@ -28,7 +31,9 @@ BLOCK_TAGS = frozenset(
     " summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template noscript iframe object svg math canvas audio video textarea select title".split())
+RAW_TAGS = frozenset("script style textarea title template noscript iframe svg math select".split())
+#: Raw up to the page's end where they aren't closed; the others are then ordinary tags.
+OPEN_RAW_TAGS = frozenset("script style textarea title".split())
 DROPPED_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
 ARTICLE_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,14 +49,16 @@ NOT_HINTS = frozenset("with has no without layout wrapper page".split())
 # What stands beside a hint in the names of such containers.
 FURNITURE = frozenset(
     "area articles bar block blocks body bottom box btn button buttons container content count div entry form group icon"
-    " icons inner item items left link links list main meta news outer posts right section site slot stories text title top"
-    " unit wrap".split()
+    " icons inner item items left link links list main meta news outer posts right section site slot stories title top"
+    " this unit us wrap your".split()
 )
 # Hints that hardly are the topic of a section.
 SURE_HINTS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter"
     " subscribe popup modal overlay comment comments reply replies respond disqus".split()
 )
+# Hints that in an article name parts of it as well.
+WEAK_HINTS = frozenset("header footer banner search login notice alert copyright skip toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
 
 # Frequent function words.
@@ -68,10 +75,14 @@ STOP_WORDS = {
 STOP = [frozenset(v.split()) for v in STOP_WORDS.values()]
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH = 0.20, 0.30
+STOP_LOW, STOP_HIGH = 0.10, 0.30
 LINK_MAX = 0.5
 KNOWN_MIN = 0.25
+#: A marked article counts if it holds this share of the page's good text.
+ARTICLE_MIN = 0.3
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
+RAW_END = {tag: re.compile(f"</{tag}\\b[^>]*>", re.I) for tag in RAW_TAGS}
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -85,7 +96,8 @@ WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff
 class Block:
     tag: str
     dropped: bool
-    in_article: bool
+    article: int  # number of the outermost article, 0 outside
+    main: int  # likewise of a main element
     chunks: list[str] = field(default_factory=list)
     linked: int = 0
     doubt: int = 0
@@ -93,15 +105,24 @@ class Block:
     label: str = ""
     density: float | None = None
 
+    @property
+    def in_article(self) -> bool:
+        return bool(self.article or self.main)
+
 
 @dataclass
 class Frame:
     tag: str
     dropped: bool
     hinted: bool
-    in_article: bool
+    article: int
+    main: int
     doubt: int = 0
 
+    @property
+    def in_article(self) -> bool:
+        return bool(self.article or self.main)
+
 
 def _hinted(attributes: str, tag: str = "", in_article: bool = False) -> tuple[bool, bool, bool]:
     """(hidden or not main text by class, id or role; hidden in any case; perhaps not main text)"""
@@ -116,28 +137,28 @@ def _hinted(attributes: str, tag: str = "", in_article: bool = False) -> tuple[b
         if kind == "id" and (tag in HEADINGS or tag in ARTICLE_TAGS):
             continue  # an anchor, named by what the text is on
         for name in got.get(kind, "").split():
-            words = {w.lower() for w in WORD_CUT.split(name)} - {""}
+            words = {w.lower() for w in WORD_CUT.split(name) if w and not w.isdigit()}
             if words & HINTS and not words & NOT_HINTS:
                 whole = words <= HINTS | FURNITURE
                 sure = bool(words & SURE_HINTS)
                 if tag in HEADINGS or tag in ARTICLE_TAGS:
                     hinted = whole
                 elif in_article:
-                    hinted = whole and (sure or kind == "class")
+                    hinted = whole and (sure or kind == "class" and bool(words & HINTS - WEAK_HINTS))
                 else:
                     hinted = whole or sure
                 if hinted:
                     return True, False, False
-                doubt = True
+                doubt = doubt or whole or sure or not in_article or bool(words & {"header", "footer"})
     return False, False, doubt
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks that hold text, in page order."""
     out: list[Block] = []
-    stack = [Frame("", False, False, False)]
-    links = doubts = 0
-    now = Block("", False, False)
+    stack = [Frame("", False, False, 0, 0)]
+    links = doubts = marks = 0
+    now = Block("", False, 0, 0)
 
     def cut(tag: str) -> Block:
         if now.chunks:
@@ -145,7 +166,7 @@ def blocks(html: str) -> list[Block]:
             if now.text:
                 out.append(now)
         top = stack[-1]
-        return Block(tag, top.dropped or top.hinted, top.in_article, doubt=top.doubt)
+        return Block(tag, top.dropped or top.hinted, top.article, top.main, doubt=top.doubt)
 
     at, n = 0, len(html)
     while at < n:
@@ -176,8 +197,8 @@ def blocks(html: str) -> list[Block]:
         at, tag, closing = m.end(), m[1].lower(), html[lt + 1] == "/"
         if tag in RAW_TAGS:
             if not closing and not m[2].endswith("/"):
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                end = RAW_END[tag].search(html, at)
+                at = end.end() if end else n if tag in OPEN_RAW_TAGS else at
             continue
         if tag == "br":
             now.chunks.append("\n")
@@ -203,13 +224,15 @@ def blocks(html: str) -> list[Block]:
                 if m[2].strip(" /") and tag not in ("html", "body"):
                     hinted, hidden, doubt = _hinted(m[2], tag, top.in_article)
                 article = tag in ARTICLE_TAGS
+                marks += article
                 doubts += doubt
                 frame = Frame(
                     tag,
                     top.dropped or hidden or tag in DROPPED_TAGS or tag == "header" and not top.in_article,
                     # an article within a container with a misleading name counts as one
                     (top.hinted and not article) or (hinted and tag != "main"),
-                    top.in_article or article,
+                    top.article or (marks if tag == "article" else 0),
+                    top.main or (marks if tag == "main" else 0),
                     0 if article else top.doubt or (doubts if doubt else 0),
                 )
                 stack.append(frame)
@@ -237,7 +260,7 @@ def in_other_script(text: str) -> bool:
 
 
 def full_of_links(block: Block) -> bool:
-    return block.linked > LINK_MAX * len("".join(block.text.split()))
+    return block.linked > 0 and block.linked > LINK_MAX * len(block.text.replace(" ", ""))
 
 
 def in_known_language(found: list[Block]) -> bool:
@@ -251,64 +274,102 @@ def in_known_language(found: list[Block]) -> bool:
     return known >= KNOWN_MIN * every
 
 
-def decide(block: Block, known: bool = True) -> str:
-    """good, bad, or what the second pass settles: near (long, but poor in stop words) and short."""
-    if block.dropped or full_of_links(block):
+def judge(block: Block, known: bool = True, marked: bool = False) -> str:
+    """good, bad, or what the second pass settles: near (long, or long enough with some stop words) and short.
+
+    In a ``marked`` article only links make a block bad."""
+    if full_of_links(block):
         return "bad"
     size = width(block.text)
+    if not marked and size <= LENGTH_HIGH and RIGHTS.match(block.text):
+        return "bad"
     if size < LENGTH_LOW:
         return "short"
     density = stop_density(block.text) if block.density is None else block.density
     if density >= STOP_HIGH or not known or in_other_script(block.text):
-        return "good" if size > LENGTH_HIGH or block.in_article else "near"
-    if density >= STOP_LOW or block.in_article:
-        return "near"
-    return "bad"
-
-
-def settle(found: list[Block]) -> None:
-    """Second pass: an open block takes the label of the nearest decided block; at equal distance, and in an article
-    where its neighbours differ, good wins unless the block is a short one outside. With no decided neighbour a
-    block is good."""
-    labels = [b.label for b in found]
-    before, after = [None] * len(found), [None] * len(found)
-    last = None
+        return "good" if size > LENGTH_HIGH or marked else "near"
+    return "near" if density >= STOP_LOW or marked else "bad"
+
+
+def settle(found: list[Block], ends: str) -> None:
+    """Second pass: an open block takes the label of the nearest decided blocks before and after it; ``ends`` lies beyond
+    both ends. Where the two differ, a near block and a heading before a good one are good, and all are within good ends;
+    else a short block goes with the nearer, at equal distance with the good one if that has its tag."""
+    labels, n = [b.label for b in found], len(found)
+    before, after, last = [-1] * n, [n] * n, -1
     for i, x in enumerate(labels):
         before[i] = last
         last = i if x in ("good", "bad") else last
-    last = None
-    for i in range(len(found) - 1, -1, -1):
+    last = n
+    for i in range(n - 1, -1, -1):
         after[i] = last
         last = i if labels[i] in ("good", "bad") else last
     for i, b in enumerate(found):
         if labels[i] not in ("near", "short"):
             continue
-        near = [(abs(i - j), labels[j]) for j in (before[i], after[i]) if j is not None]
-        kinds = {x for _, x in near}
-        if not kinds:
+        j, k = before[i], after[i]
+        low, high = (labels[j] if j >= 0 else ends), (labels[k] if k < n else ends)
+        if low == high:
+            b.label = low
+        elif ends == "good" or labels[i] == "near" or b.tag in HEADINGS and high == "good":
             b.label = "good"
-        elif len(kinds) == 1:
-            b.label = kinds.pop()
-        elif b.in_article or b.tag in HEADINGS and after[i] is not None and labels[after[i]] == "good":
-            b.label = "good"
-        elif near[0][0] != near[1][0]:
-            b.label = min(near)[1]
+        elif i - j != k - i:
+            b.label = low if i - j < k - i else high
         else:
-            b.label = "good" if labels[i] == "near" else "bad"
+            b.label = "good" if found[j if low == "good" else k].tag == b.tag else "bad"
+
+
+def label(found: list[Block], marked: bool) -> list[Block]:
+    """Both passes; blocks of doubtful containers without prose are left out. With no good block all open ones are."""
+    known = in_known_language(found)
+    for b in found:
+        b.label = judge(b, known, marked)
+    if any(b.doubt for b in found):
+        prose = {b.doubt for b in found if b.label == "good" and width(b.text) > LENGTH_HIGH}
+        found = [b for b in found if not b.doubt or b.doubt in prose or b.label in ("good", "near") or b.tag in HEADINGS]
+    undecided = [b for b in found if b.label in ("near", "short")]
+    settle(found, "good" if marked else "bad")
+    if not any(b.label == "good" for b in found):
+        for b in undecided:
+            b.label = "good"
+    return found
+
+
+def good_length(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found if b.label == "good")
+
+
+def scoped(page: list[Block]) -> tuple[list[Block], bool]:
+    """(the blocks that may be main text, whether a mark chose them). ``page`` has its labels.
+
+    The article with most good text (of all: most text), else the like main element, if it holds at least
+    ``ARTICLE_MIN`` of the good text; else all blocks but those of articles.
+    """
+    for mark in ("article", "main"):
+        parts: dict[int, list[Block]] = {}
+        for b in page:
+            if number := getattr(b, mark):
+                parts.setdefault(number, []).append(b)
+        if parts:
+            best = max(parts.values(), key=lambda p: (good_length(p), sum(len(b.text) for b in p)))
+            rest = [b for b in page if not b.article]
+            if mark == "main" or good_length(best) >= ARTICLE_MIN * (good_length(best) + good_length(rest)):
+                return best, True
+            page = rest
+    return page, False
+
+
+def labelled(html: str) -> list[Block]:
+    """The blocks that may be main text, each labelled good or bad."""
+    page = [b for b in blocks(html) if not b.dropped]
+    found = label(page, False)
+    scope, marked = scoped(page)
+    return label(scope, marked) if marked or len(scope) < len(page) else found
 
 
 def main_text(html: str | None) -> str:
     """The main text of a whole page: its good blocks, joined by one space. Null and empty pages have none."""
-    found = blocks(html or "")
-    scope = [b for b in found if b.in_article and not b.dropped] or [b for b in found if not b.dropped]
-    known = in_known_language(scope)
-    for b in scope:
-        b.label = decide(b, known)
-    if any(b.doubt for b in scope):
-        prose = {b.doubt for b in scope if b.label == "good" and width(b.text) > LENGTH_HIGH}
-        scope = [b for b in scope if not b.doubt or b.doubt in prose or b.label in ("good", "near") or b.tag in HEADINGS]
-    settle(scope)
-    return " ".join(b.text for b in scope if b.label == "good")
+    return " ".join(b.text for b in labelled(html or "") if b.label == "good")
 
 
 def extract(
