@@ -1,7 +1,8 @@
 """SimHash near-duplicates by vantage-point trees over 64-bit fingerprints.
 
-Equal fingerprints are one point. A top tree of vantage points and median distances, fitted on a bounded sample, cuts
-the points into shards; in each shard a task builds the lower tree over all its points. A point farther than the median
+Equal fingerprints are one point. A top tree of vantage points and distances, fitted on a bounded sample, cuts the points
+into shards; shards above a limit are cut again by samples of their own, and those that no distance parts (see
+``partition``) go in blocks. In each shard a task builds the lower tree over all its points. A point farther than the median
 from a vantage point belongs outside; by the triangle inequality a partner on the inner side is at most ``radius``
 nearer, so a point that is outside by no more than ``radius`` is also sent inside. Two linked points therefore meet in
 some leaf, at every level, whatever the sample was: the sample only balances. Leaves compare exactly and give links to
@@ -10,6 +11,7 @@ their components' smallest points, so a dense group costs a link a point, not a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import connected_components, staged
+from loomline.llm.partition import in_blocks, split_until_small
 
 LEAF = 512
+#: A split counts if its larger side holds at most this share of the points.
+LARGEST = 0.9
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -64,42 +69,40 @@ def _far(points: np.ndarray, pivot: np.uint64) -> np.ndarray:
 
 
 def split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64, int] | None:
-    """A vantage point among the points, and the distance that leaves the fewest points on the border.
-
-    The distance lies between the 30th and 70th percentile of the points' distances; None where all lie alike.
-    """
+    """A vantage point among the points, and the distance that leaves the least points on the larger side (which, inside,
+    has the border's too). None where that is nearly all."""
     best = None
     for pivot in points[np.linspace(0, len(points) - 1, min(tries, len(points))).astype(int)]:
-        inside = np.cumsum(np.bincount(_far(points, pivot), minlength=65 + radius))
-        border = np.where(
-            (inside[:64] >= 0.3 * len(points)) & (inside[:64] <= 0.7 * len(points)),
-            inside[radius : 64 + radius] - inside[:64],
-            len(points) + 1,
-        )
-        cut = int(border.argmin())
-        if border[cut] <= len(points) and (best is None or border[cut] < best[0]):
-            best = (border[cut], pivot, cut)
+        within = np.cumsum(np.bincount(_far(points, pivot), minlength=65 + radius))
+        inner, outer = within[radius : 64 + radius], len(points) - within[:64]
+        larger = np.maximum(inner, outer)
+        cut = int(np.lexsort((inner + outer, larger))[0])
+        if larger[cut] <= LARGEST * len(points) and (best is None or larger[cut] < best[0]):
+            best = (larger[cut], pivot, cut)
     return best and (best[1], best[2])
 
 
 class TopTree:
-    """The shards: vantage points down to ``depth`` levels, from a sample. Nodes are numbered as in a heap."""
+    """The shards: vantage points and distances from a sample of ``share`` points to one. Nodes are numbered as in a heap.
+
+    A node is split while it stands for more than ``limit`` points and has enough of the sample to tell.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, radius: int):
-        self.radius = radius
+    def __init__(self, sample: np.ndarray, share: float, limit: float, radius: int, root: int = 1, least: int = 32):
+        self.radius, self.root = radius, root
         self.nodes: dict[int, tuple[np.uint64, int]] = {}
-        todo = [(1, sample, depth)]
+        todo = [(root, sample)]
         while todo:
-            node, points, left = todo.pop()
-            if left and len(points) > 8 and (found := split(points, radius)):
+            node, points = todo.pop()
+            if len(points) * share > limit and len(points) >= least and (found := split(points, radius)):
                 self.nodes[node] = found
                 d = _far(points, found[0])
-                todo += [(2 * node, points[d <= found[1]], left - 1), (2 * node + 1, points[d > found[1]], left - 1)]
+                todo += [(2 * node, points[d <= found[1] + radius]), (2 * node + 1, points[d > found[1]])]
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of point, shard): every shard in which a point must be seen."""
         out_i, out_s = [], []
-        todo = [(1, np.arange(len(points)))]
+        todo = [(self.root, np.arange(len(points)))]
         while todo:
             node, idx = todo.pop()
             if not len(idx):
@@ -124,10 +127,8 @@ def links(points: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray
         part = todo.pop()
         if len(part) > leaf and (cut := split(part, radius)):
             d = _far(part, cut[0])
-            inner, outer = part[d <= cut[1] + radius], part[d > cut[1]]
-            if len(inner) < 0.95 * len(part):
-                todo += [inner, outer]
-                continue
+            todo += [part[d <= cut[1] + radius], part[d > cut[1]]]
+            continue
         if len(part) <= leaf:
             near = np.bitwise_count(part[:, None] ^ part) <= radius
             near[np.arange(len(part)), np.arange(len(part))] = False
@@ -151,12 +152,12 @@ def links(points: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def near_links(points: DataFrame, radius: int, per_shard: int = 20_000, sample: int = 8192) -> DataFrame:
+def near_links(points: DataFrame, radius: int, per_shard: int = 10_000, sample: int = 8192) -> DataFrame:
     """Links (a, b) between different fingerprints of ``points(fp)`` that give its components at ``radius`` or less."""
     n = points.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / per_shard)))))
-    some = points.orderBy(F.xxhash64("fp")).limit(sample).collect() if depth else []
-    tree = TopTree(np.array([r.fp for r in some], np.int64).view(np.uint64), depth, radius)
+    some = points.orderBy(F.xxhash64("fp")).limit(sample).collect() if n > per_shard else []
+    goal = 0.7 * per_shard  # a sample's estimate may be too low
+    tree = TopTree(np.array([r.fp for r in some], np.int64).view(np.uint64), n / max(1, len(some)), goal, radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,13 +165,24 @@ def near_links(points: DataFrame, radius: int, per_shard: int = 20_000, sample:
             i, shard = tree.route(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[i])], names=["shard", "fp"])
 
+    def fit(pdf: pd.DataFrame, share: int) -> bytes | None:
+        own = TopTree(_bits(pdf["fp"]), share, goal, radius, int(pdf["shard"].iloc[0]))
+        return pickle.dumps(own) if own.nodes else None
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = links(pdf["fp"].to_numpy(np.int64).view(np.uint64), radius)
+        a, b = links(_bits(pdf["fp"]), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    # As many tasks as shards: their work isn't told by their bytes.
-    routed = points.mapInArrow(route, "shard long, fp long").repartition(2**depth, "shard")
-    return routed.groupBy("shard").applyInPandas(search, "a long, b long")
+    rows = staged(points.mapInArrow(route, "shard long, fp long"), "shards")
+    rows = in_blocks(split_until_small(rows, "fp", per_shard, fit, lambda pdf, t: pickle.loads(t).route(_bits(pdf["fp"]))), "fp")
+    # As many tasks as full shards: their work isn't told by their bytes.
+    tasks = max(1, min(100_000, -(-rows.count() // per_shard)))
+    by = ("shard", "low", "high")
+    return rows.repartition(tasks, *by).groupBy(*by).applyInPandas(search, "a long, b long")
+
+
+def _bits(fp: pd.Series) -> np.ndarray:
+    return fp.to_numpy(np.int64).view(np.uint64)
 
 
 def simhash_components(
@@ -179,7 +191,7 @@ def simhash_components(
     text_col: str = "text",
     radius: int = 3,
     shingle: int = 3,
-    per_shard: int = 20_000,
+    per_shard: int = 10_000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, ``keep``, fp (long), class_fp (one fingerprint of its component) and component_id (the
