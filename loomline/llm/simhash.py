@@ -1,8 +1,10 @@
 """SimHash near-duplicates by vantage-point trees over 64-bit fingerprints.
 
-Equal fingerprints are one point. A top tree of vantage points and distances, fitted on a bounded sample, cuts the points
+Equal fingerprints are one point. Top trees of vantage points and distances, fitted on a bounded sample, cut the points
 into shards; shards above a limit are cut again by samples of their own, and those that no distance parts (see
-``partition``) go in blocks. In each shard a task builds the lower tree over all its points. A point farther than the median
+``partition``) go in blocks. Of ``radius`` differing bits at most half are in one half of the fingerprint: so there are
+two top trees, each with the distance over one half and half the radius, whose borders hold far fewer points than those
+of one tree over all bits. In each shard a task builds the lower tree over all its points and bits. A point farther than the median
 from a vantage point belongs outside; by the triangle inequality a partner on the inner side is at most ``radius``
 nearer, so a point that is outside by no more than ``radius`` is also sent inside. Two linked points therefore meet in
 some leaf, at every level, whatever the sample was: the sample only balances. Leaves compare exactly and give links to
@@ -64,16 +66,21 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     return rows.mapInArrow(run, f"{kept}, fp long")
 
 
-def _far(points: np.ndarray, pivot: np.uint64) -> np.ndarray:
-    return np.bitwise_count(points ^ pivot)
+ALL_BITS = np.uint64(2**64 - 1)
+#: The bits that the top trees look at; a tree's root has the number of halves plus its own.
+HALVES = (np.uint64(2**32 - 1), np.uint64(2**64 - 2**32))
 
 
-def split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64, int] | None:
+def _far(points: np.ndarray, pivot: np.uint64, bits: np.uint64 = ALL_BITS) -> np.ndarray:
+    return np.bitwise_count((points ^ pivot) & bits)
+
+
+def split(points: np.ndarray, radius: int, tries: int = 4, bits: np.uint64 = ALL_BITS) -> tuple[np.uint64, int] | None:
     """A vantage point among the points, and the distance that leaves the least points on the larger side (which, inside,
     has the border's too). None where that is nearly all."""
     best = None
     for pivot in points[np.linspace(0, len(points) - 1, min(tries, len(points))).astype(int)]:
-        within = np.cumsum(np.bincount(_far(points, pivot), minlength=65 + radius))
+        within = np.cumsum(np.bincount(_far(points, pivot, bits), minlength=65 + radius))
         inner, outer = within[radius : 64 + radius], len(points) - within[:64]
         larger = np.maximum(inner, outer)
         cut = int(np.lexsort((inner + outer, larger))[0])
@@ -85,18 +92,21 @@ def split(points: np.ndarray, radius: int, tries: int = 4) -> tuple[np.uint64, i
 class TopTree:
     """The shards: vantage points and distances from a sample of ``share`` points to one. Nodes are numbered as in a heap.
 
-    A node is split while it stands for more than ``limit`` points and has enough of the sample to tell.
+    A node is split while it stands for more than ``limit`` points and has enough of the sample to tell. Points within
+    ``radius`` of one another, over ``bits``, meet in a shard.
     """
 
-    def __init__(self, sample: np.ndarray, share: float, limit: float, radius: int, root: int = 1, least: int = 32):
-        self.radius, self.root = radius, root
+    def __init__(
+        self, sample: np.ndarray, share: float, limit: float, radius: int, root: int = 1, bits: np.uint64 = ALL_BITS, least: int = 32
+    ):
+        self.radius, self.root, self.bits = radius, root, bits
         self.nodes: dict[int, tuple[np.uint64, int]] = {}
         todo = [(root, sample)]
         while todo:
             node, points = todo.pop()
-            if len(points) * share > limit and len(points) >= least and (found := split(points, radius)):
+            if len(points) * share > limit and len(points) >= least and (found := split(points, radius, bits=bits)):
                 self.nodes[node] = found
-                d = _far(points, found[0])
+                d = _far(points, found[0], bits)
                 todo += [(2 * node, points[d <= found[1] + radius]), (2 * node + 1, points[d > found[1]])]
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +122,7 @@ class TopTree:
                 out_s.append(np.full(len(idx), node, np.int64))
                 continue
             pivot, cut = self.nodes[node]
-            d = _far(points[idx], pivot)
+            d = _far(points[idx], pivot, self.bits)
             todo += [(2 * node, idx[d <= cut + self.radius]), (2 * node + 1, idx[d > cut])]
         if not out_i:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -157,17 +167,26 @@ def near_links(points: DataFrame, radius: int, per_shard: int = 10_000, sample:
     n = points.count()
     some = points.orderBy(F.xxhash64("fp")).limit(sample).collect() if n > per_shard else []
     goal = 0.7 * per_shard  # a sample's estimate may be too low
-    tree = TopTree(np.array([r.fp for r in some], np.int64).view(np.uint64), n / max(1, len(some)), goal, radius)
+    fitted, share, half = np.array([r.fp for r in some], np.int64).view(np.uint64), n / max(1, len(some)), radius // len(HALVES)
+    trees = [TopTree(fitted, share, goal, half, len(HALVES) + k, bits) for k, bits in enumerate(HALVES)]
+    if not any(t.nodes for t in trees):
+        trees = [TopTree(fitted, share, goal, radius)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            i, shard = tree.route(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[i])], names=["shard", "fp"])
+            for tree in trees:
+                i, shard = tree.route(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[i])], names=["shard", "fp"])
 
     def fit(pdf: pd.DataFrame, share: int) -> bytes | None:
-        own = TopTree(_bits(pdf["fp"]), share, goal, radius, int(pdf["shard"].iloc[0]))
-        return pickle.dumps(own) if own.nodes else None
+        shard, sampled = int(pdf["shard"].iloc[0]), _bits(pdf["fp"])
+        top = shard >> max(0, shard.bit_length() - len(HALVES).bit_length())
+        for bits, near in ((HALVES[top - len(HALVES)], half), (ALL_BITS, radius)) if top >= len(HALVES) else ((ALL_BITS, radius),):
+            own = TopTree(sampled, share, goal, near, shard, bits)
+            if own.nodes:
+                return pickle.dumps(own)
+        return None
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = links(_bits(pdf["fp"]), radius)
