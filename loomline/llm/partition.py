@@ -29,8 +29,9 @@ def split_until_small(
     route: Callable[[pd.DataFrame, bytes], tuple],
     sample: int = 4096,
     salted: int = 20_000,
+    block: int | None = None,
 ) -> DataFrame:
-    """``rows`` with ``blocks``: 1, or for a dense shard into how many blocks of at most about ``limit`` rows it is cut.
+    """``rows`` with ``blocks``: 1, or for a dense shard into how many blocks of about ``block`` rows (``limit`` if not given) it is cut.
 
     ``fit(sampled rows, their share's inverse)`` gives a shard's tree or None if it can't be split; ``route(rows, tree)``
     gives (row numbers, shards). ``key`` is a column that no two rows of a shard share.
@@ -46,7 +47,7 @@ def split_until_small(
     def routed(pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         tree, n = trees["tree"].iloc[0], int(trees["__n"].iloc[0])
         if tree is None:
-            return pdf[names].assign(blocks=-(-n // limit))
+            return pdf[names].assign(blocks=-(-n // (block or limit)))
         at, shard = route(pdf, tree)
         return pdf[names].iloc[at].assign(shard=shard, blocks=0)
 

@@ -1,17 +1,19 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Each tree splits by the median along a random direction, again and again; a vector within ``spill`` of the median goes
-to both sides. Vectors that share a leaf of some tree are compared exactly, in double precision. Equal vectors are one
-point with a count.
+Each tree splits by the median along the best of a few random directions, again and again; a vector within a margin of
+the median goes to both sides. Leaves above a limit are split again by samples of their own; what no direction parts is
+dense and goes in blocks (see ``partition``). Vectors that share a leaf of some tree are compared exactly, in double
+precision. Equal vectors are one point with a count.
 
-A pair that shares several leaves counts in the first of them (by tree, then leaf) only, which both points' leaf lists
-tell: so links are counted without a list of pairs, and a dense group gives a row a point and leaf, not a row a pair.
-Components come from links to each leaf's local roots.
+A pair that shares several leaves counts in the first of them only, which both points' leaf lists tell: so links are
+counted without a list of pairs, and a dense group gives a row a point and leaf, not a row a pair. Components come from
+links to each leaf's local roots.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import connected_components, staged
+from loomline.llm.partition import in_blocks, split_until_small
 
-#: Leaf numbers of a tree lie below this.
-LEAVES = 1 << 32
+#: A split counts if its larger side holds at most this share of the points.
+LARGEST = 0.9
 
 
 def unit(vector) -> np.ndarray | None:
@@ -38,31 +41,54 @@ def unit(vector) -> np.ndarray | None:
     return v / norm if norm > 0 and np.isfinite(norm) else None
 
 
+def packed(vector) -> bytes:
+    """The components as they came: in single precision where that loses nothing."""
+    v = np.array(vector, np.float64)
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return (single if (single == v).all() else v).tobytes()
+
+
+def unpacked(raw, dims: int) -> np.ndarray:
+    """Unit vectors of packed ones."""
+    x = np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dims else np.float64) for r in raw], np.float64).reshape(-1, dims)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 class Tree:
-    """Directions and medians down to ``depth`` levels, from a sample of unit vectors. Nodes are numbered as in a heap."""
+    """Directions and medians from a sample of unit vectors, one for ``share`` points. Nodes are numbered as in a heap.
+
+    A node is split while it stands for more than ``limit`` points and has enough of the sample to tell, along the one of
+    ``tries`` directions that leaves fewest on both sides.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int):
-        rng = np.random.default_rng(seed)
-        self.spill = spill
+    def __init__(
+        self, sample: np.ndarray, share: float, limit: float, spill: float, seed: int, root: int = 1, tries: int = 3, least: int = 24
+    ):
+        rng = np.random.default_rng([seed, root])
+        self.spill, self.root = spill, root
         self.nodes: dict[int, tuple[np.ndarray, float]] = {}
-        todo = [(1, sample, depth)]
+        todo = [(root, sample)]
         while todo:
-            node, points, left = todo.pop()
-            direction = rng.standard_normal(sample.shape[1])
-            direction /= np.linalg.norm(direction)
-            if not left or len(points) < 8:
+            node, points = todo.pop()
+            if len(points) * share <= limit or len(points) < least:
                 continue
-            along = points @ direction
-            cut = float(np.median(along))
-            low = along <= cut
-            if low.all():  # nothing to part here
+            directions = rng.standard_normal((tries, sample.shape[1]))
+            directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+            along = points @ directions.T
+            cuts = np.median(along, axis=0)
+            low, high = along <= cuts + spill, along >= cuts - spill
+            best = int((low.sum(0) + high.sum(0)).argmin())
+            low, high = low[:, best], high[:, best]
+            if max(low.sum(), high.sum()) > LARGEST * len(points):
                 continue
-            self.nodes[node] = (direction, cut)
-            todo += [(2 * node, points[low], left - 1), (2 * node + 1, points[~low], left - 1)]
+            self.nodes[node] = (directions[best], float(cuts[best]))
+            todo += [(2 * node, points[low]), (2 * node + 1, points[high])]
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out_i, out_leaf = [], []
-        todo = [(1, np.arange(len(points)))]
+        todo = [(self.root, np.arange(len(points)))]
         while todo:
             node, idx = todo.pop()
             if not len(idx):
@@ -79,43 +105,48 @@ class Tree:
         return np.concatenate(out_i), np.concatenate(out_leaf)
 
 
-def compare(x: np.ndarray, n: np.ndarray, codes: list[np.ndarray], here: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(
+    x: np.ndarray, n: np.ndarray, earlier: list[np.ndarray], threshold: float, part: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(links first seen here of each point, local root of each point) of a leaf's unit vectors ``x`` with counts ``n``.
 
-    ``codes`` are the points' leaves. Pairs are looked at in blocks; no list of pairs is made.
+    ``earlier`` are the points' leaves before this one. With ``part``, only pairs of different parts count. Pairs are
+    looked at in blocks; no list of pairs is made.
     """
     m = len(x)
-    label = np.arange(m)
+
+    def near(rows: np.ndarray, i: int, block: int) -> np.ndarray:
+        out = x[rows[i : i + block]] @ x[rows].T >= threshold
+        own = np.arange(len(out))
+        out[own, i + own] = False
+        if part is not None:
+            out &= part[rows[i : i + block], None] != part[rows]
+        return out
+
+    label, links = np.arange(m), np.zeros(m, np.int64)
     block = max(1, min(m, 4_000_000 // max(1, m)))
-    linked = np.zeros(m, bool)
-    for i in range(0, m, block):
-        near = x[i : i + block] @ x.T >= threshold
-        near[np.arange(near.shape[0]), np.arange(i, i + near.shape[0])] = False
-        linked[i : i + block] = near.any(axis=1)
-    some = np.flatnonzero(linked)
-    links = np.zeros(m, np.int64)
+    every = np.arange(m)
+    linked = [near(every, i, block).any(axis=1) for i in range(0, m, block)]
+    some = np.flatnonzero(np.concatenate(linked)) if linked else every
     if not len(some):
         return links, label
     # Which earlier leaves each linked point is in, as 0/1 columns: two points share one if the product isn't 0.
-    earlier = [c[c < here] for c in (codes[i] for i in some)]
-    names, column = np.unique(np.concatenate(earlier), return_inverse=True)
+    before = [earlier[i] for i in some]
+    names, column = np.unique(np.concatenate(before), return_inverse=True)
     held = np.zeros((len(some), max(1, len(names))), np.float32)
-    held[np.repeat(np.arange(len(some)), [len(c) for c in earlier]), column] = 1
-    y, weight = x[some], n[some]
+    held[np.repeat(np.arange(len(some)), [len(c) for c in before]), column] = 1
+    weight = n[some]
     block = max(1, min(len(some), 4_000_000 // len(some)))
     label_some = np.arange(len(some))
-    changed = True
-    first = True
+    first = changed = True
     while changed:  # smallest label over links, until it stays
         changed = False
         for i in range(0, len(some), block):
-            near = y[i : i + block] @ y.T >= threshold
-            own = np.arange(near.shape[0])
-            near[own, i + own] = False
+            found = near(some, i, block)
             if first:
-                fresh = near & (held[i : i + block] @ held.T == 0)
+                fresh = found & (held[i : i + block] @ held.T == 0)
                 links[some[i : i + block]] = fresh @ weight
-            low = np.minimum(np.where(near, label_some[None, :], len(some)).min(axis=1), label_some[i : i + block])
+            low = np.minimum(np.where(found, label_some[None, :], len(some)).min(axis=1), label_some[i : i + block])
             if (low < label_some[i : i + block]).any():
                 changed = True
                 label_some[i : i + block] = low
@@ -134,16 +165,18 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = 6,
-    leaf: int = 1024,
+    leaf: int = 400,
     sample: int = 4096,
     spill: float = 0.75,
+    block: int = 8192,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Pairs with a cosine of at least ``threshold`` link; pairs are found if they share a leaf of one of the trees. A
     vector's margin is ``spill`` times the standard deviation of a just-linked pair's difference along a random
-    direction. A pair that shares no leaf is missed, so n_links may be too low; README gives the measured recall. Trees are
-    fitted on ``sample`` vectors (the first by a hash), every vector is in them.
+    direction. A pair that shares no leaf is missed, so n_links may be too low; README gives the measured recall. The top
+    of the trees is fitted on ``sample`` vectors (the first by a hash), every vector is in them; leaves of more than
+    ``leaf`` vectors are split again, and compared in blocks of ``block`` where nothing parts them.
 
     Null, empty and zero vectors and such with null or non-finite components link with nothing and are kept. Vectors of
     other lengths than the most frequent one's are compared with their like only. Repeated rows are vectors like others
@@ -153,28 +186,27 @@ def near_vectors(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [unit(v) for v in batch.column("__v").to_pylist()]
-            raw = [None if v is None else v.tobytes() for v in found]
+            vectors = batch.column("__v").to_pylist()
+            found = [unit(v) for v in vectors]
+            digests = [None if u is None else hashlib.md5(u.tobytes()).digest() for u in found]
+            raw = [None if u is None else packed(v) for u, v in zip(found, vectors, strict=True)]
+            dims = [None if u is None else len(u) for u in found]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("__id"),
-                    pa.array([None if r is None else hashlib.md5(r).digest() for r in raw], pa.binary()),
-                    pa.array(raw, pa.binary()),
-                ],
-                names=["__id", "digest", "unit"],
+                [batch.column("__id"), pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())],
+                names=["__id", "digest", "raw", "dims"],
             )
 
     rows = vectors.select(F.col(id_col).alias("__id"), F.col(vector_col).cast("array<double>").alias("__v"))
-    all_rows = staged(rows.mapInArrow(read, f"{_columns(rows, '__id')}, digest binary, unit binary"), "vectors")
+    all_rows = staged(rows.mapInArrow(read, f"{_columns(rows, '__id')}, digest binary, raw binary, dims int"), "vectors")
     points = staged(
         all_rows.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("__id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit")),
+        .agg(F.min("__id").alias("rep"), F.count("*").alias("n"), F.min("raw").alias("raw"), F.min("dims").alias("dims")),
         "distinct-vectors",
     )
-    widths = points.groupBy(F.octet_length("unit").alias("w")).count().orderBy(F.desc("count"), "w").collect()
+    widths = points.groupBy("dims").count().orderBy(F.desc("count"), "dims").collect()  # a row a length
     parts = [
-        _leaf_results(points.where(F.octet_length("unit") == w.w), w.w // 8, w["count"], threshold, trees, leaf, sample, spill)
+        _leaf_results(points.where(F.col("dims") == w.dims), w.dims, w["count"], threshold, trees, leaf, sample, spill, block)
         for w in widths
     ]
     if not parts:
@@ -208,41 +240,50 @@ def near_vectors(
     )
 
 
-def _leaf_results(points, dims, count, threshold, trees, leaf, sample, spill) -> DataFrame:
+def _leaf_results(points, dims, count, threshold, trees, leaf, sample, spill, block) -> DataFrame:
     """digest, links, root of each point and leaf in which the point has a link."""
-    depth = max(0, int(np.ceil(np.log2(max(1, count / leaf)))))
     margin = spill * float(np.sqrt(max(0.0, 2 - 2 * threshold)) / np.sqrt(dims))
-    some = points.orderBy(F.xxhash64("digest")).limit(sample).select("unit").collect() if depth else []
-    fitted = np.array([np.frombuffer(r.unit, np.float64) for r in some]).reshape(len(some), dims)
-    forest = [Tree(fitted, depth, margin, seed) for seed in range(trees if depth else 1)]
+    some = points.orderBy(F.xxhash64("digest")).limit(sample).select("raw").collect() if count > leaf else []
+    fitted = unpacked([r.raw for r in some], dims) if some else np.zeros((0, dims))
+    goal = 0.7 * leaf  # a sample's estimate may be too low
+    root = 1 << (trees - 1).bit_length()
+    forest = [Tree(fitted, count / max(1, len(some)), goal, margin, 1, root + k) for k in range(trees if count > leaf else 1)]
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 2048):
                 part = batch.slice(i, 2048)
-                x = np.array([np.frombuffer(u.as_py(), np.float64) for u in part.column("unit")])
-                got = [t.route(x) for t in forest]
-                who = np.concatenate([g[0] for g in got])
-                code = np.concatenate([g[1] + k * LEAVES for k, g in enumerate(got)])
-                order = np.lexsort((code, who))
-                who, code = who[order], code[order]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(x))))), pa.int32()), pa.array(code)
-                )
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), *(part.column(c).take(take) for c in ("digest", "n", "unit")), lists.take(take)],
-                    names=["leaf", "digest", "n", "unit", "leaves"],
-                )
+                x = unpacked((r.as_py() for r in part.column("raw")), dims)
+                for tree in forest:
+                    who, shard = tree.route(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("digest").take(pa.array(who))], names=["shard", "digest"])
+
+    def fit(pdf: pd.DataFrame, share: int) -> bytes | None:
+        tree = Tree(unpacked(pdf["raw"], dims), share, goal, margin, 2, int(pdf["shard"].iloc[0]))
+        return pickle.dumps(tree) if tree.nodes else None
+
+    def route(pdf: pd.DataFrame, tree: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return pickle.loads(tree).route(unpacked(pdf["raw"], dims))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([np.frombuffer(u, np.float64) for u in pdf["unit"]])
-        got, root = compare(x, pdf["n"].to_numpy(), [np.asarray(c) for c in pdf["leaves"]], int(pdf["leaf"].iloc[0]), threshold)
+        x, cross = unpacked(pdf["raw"], dims), pdf["low"].iloc[0] != pdf["high"].iloc[0]
+        part = pdf["block"].to_numpy() if cross else None
+        got, root = compare(x, pdf["n"].to_numpy(), [np.asarray(c, np.int64) for c in pdf["earlier"]], threshold, part)
         digest = pdf["digest"].to_numpy()
         out = pd.DataFrame({"digest": digest, "links": got, "root": digest[root]})
         return out[(got > 0) | (root != np.arange(len(x)))]
 
-    routed = points.select("digest", "n", "unit").mapInArrow(
-        route, "leaf long, digest binary, n long, unit binary, leaves array<long>"
-    )
-    return routed.groupBy("leaf").applyInPandas(search, "digest binary, links long, root binary")
+    placed = staged(points.select("digest", "raw").mapInArrow(top, "shard long, digest binary"), "leaves")
+    big = staged(placed.groupBy("shard").count().where(F.col("count") > leaf).select("shard"), "big-leaves")
+    if not big.isEmpty():
+        wide = placed.join(big, "shard", "left_semi").join(points.select("digest", "raw"), "digest").select("shard", "digest", "raw")
+        split = split_until_small(wide, "digest", leaf, fit, route, sample, block=block)
+        rest = placed.join(big, "shard", "left_anti").withColumn("blocks", F.lit(1))
+        placed = rest.unionByName(split.drop("raw"))
+    else:
+        placed = placed.withColumn("blocks", F.lit(1))
+    leaves = placed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("at"))
+    rows = points.select("digest", "n", "raw").join(leaves, "digest")
+    rows = rows.select("digest", "n", "raw", F.col("at.shard").alias("__all"), F.posexplode("at").alias("i", "leaf"))
+    rows = rows.select("leaf.*", "digest", "n", "raw", F.slice("__all", F.lit(1), F.col("i")).alias("earlier"))
+    return in_blocks(rows, "digest").groupBy("shard", "low", "high").applyInPandas(search, "digest binary, links long, root binary")
