@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Each tree splits by the median along the best of a few random directions, again and again; a vector within a margin of
-the median goes to both sides. Leaves above a limit are split again by samples of their own; what no direction parts is
+Each tree splits along the best of a few random directions, again and again, where this leaves small and even sides; a
+vector within a margin of the cut goes to both, the margin being narrower where too many would. Leaves above a limit are split again by samples of their own; what no direction parts is
 dense and goes in blocks (see ``partition``). Vectors that share a leaf of some tree are compared exactly, in double
 precision. Equal vectors are one point with a count.
 
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from loomline.llm.common import connected_components, staged
 from loomline.llm.partition import in_blocks, split_until_small
 
-#: A split counts if its larger side holds at most this share of the points.
-LARGEST = 0.9
+#: Points are dense if each split with the whole margin leaves more than this share of them on both sides.
+DENSE = 0.4
+#: Elsewhere the margin is narrowed until at most this share is on both sides.
+BOTH = 0.16
+#: Where splits are tried, as shares of the points below: first at the median, elsewhere if that leaves many on both sides.
+MEDIAN, CUTS, MANY = (0.5,), (0.4, 0.6, 0.3, 0.7, 0.2, 0.8), 0.3
 
 
 def unit(vector) -> np.ndarray | None:
@@ -59,16 +63,16 @@ def unpacked(raw, dims: int) -> np.ndarray:
 class Tree:
     """Directions and medians from a sample of unit vectors, one for ``share`` points. Nodes are numbered as in a heap.
 
-    A node is split while it stands for more than ``limit`` points and has enough of the sample to tell, along the one of
-    ``tries`` directions that leaves fewest on both sides.
+    A node is split while it stands for more than ``limit`` points, has enough of the sample to tell and isn't dense,
+    along the one of ``tries`` directions, and there where, both sides are smallest with ``spill`` as the margin.
     """
 
     def __init__(
         self, sample: np.ndarray, share: float, limit: float, spill: float, seed: int, root: int = 1, tries: int = 3, least: int = 24
     ):
         rng = np.random.default_rng([seed, root])
-        self.spill, self.root = spill, root
-        self.nodes: dict[int, tuple[np.ndarray, float]] = {}
+        self.root = root
+        self.nodes: dict[int, tuple[np.ndarray, float, float]] = {}
         todo = [(root, sample)]
         while todo:
             node, points = todo.pop()
@@ -76,15 +80,22 @@ class Tree:
                 continue
             directions = rng.standard_normal((tries, sample.shape[1]))
             directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-            along = points @ directions.T
-            cuts = np.median(along, axis=0)
-            low, high = along <= cuts + spill, along >= cuts - spill
-            best = int((low.sum(0) + high.sum(0)).argmin())
-            low, high = low[:, best], high[:, best]
-            if max(low.sum(), high.sum()) > LARGEST * len(points):
+            best = None
+            for at in (MEDIAN, CUTS):
+                if best and best[1] <= MANY:
+                    break
+                for along, direction in zip((points @ directions.T).T, directions, strict=True):
+                    for cut in np.quantile(along, at):
+                        low, high = np.mean(along <= cut + spill), np.mean(along >= cut - spill)
+                        cost, both = low**2 + high**2, low + high - 1  # small and even sides
+                        if both <= DENSE and max(low, high) <= 0.9 and (best is None or cost < best[0]):
+                            best = (cost, both, direction, float(cut), along)
+            if best is None:
                 continue
-            self.nodes[node] = (directions[best], float(cuts[best]))
-            todo += [(2 * node, points[low]), (2 * node + 1, points[high])]
+            _, _, direction, cut, along = best
+            margin = min(spill, float(np.quantile(np.abs(along - cut), BOTH)))
+            self.nodes[node] = (direction, cut, margin)
+            todo += [(2 * node, points[along <= cut + margin]), (2 * node + 1, points[along >= cut - margin])]
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out_i, out_leaf = [], []
@@ -97,9 +108,9 @@ class Tree:
                 out_i.append(idx)
                 out_leaf.append(np.full(len(idx), node, np.int64))
                 continue
-            direction, cut = self.nodes[node]
+            direction, cut, margin = self.nodes[node]
             along = points[idx] @ direction
-            todo += [(2 * node, idx[along <= cut + self.spill]), (2 * node + 1, idx[along >= cut - self.spill])]
+            todo += [(2 * node, idx[along <= cut + margin]), (2 * node + 1, idx[along >= cut - margin])]
         if not out_i:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(out_i), np.concatenate(out_leaf)
@@ -174,7 +185,7 @@ def near_vectors(
 
     Pairs with a cosine of at least ``threshold`` link; pairs are found if they share a leaf of one of the trees. A
     vector's margin is ``spill`` times the standard deviation of a just-linked pair's difference along a random
-    direction. A pair that shares no leaf is missed, so n_links may be too low; README gives the measured recall. The top
+    direction, or what leaves at most ``BOTH`` of a node's on both sides. A pair that shares no leaf is missed, so n_links may be too low; README gives the measured recall. The top
     of the trees is fitted on ``sample`` vectors (the first by a hash), every vector is in them; leaves of more than
     ``leaf`` vectors are split again, and compared in blocks of ``block`` where nothing parts them.
 
