@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of our own (tests, a single machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a single machine, where it is unset, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomline.work.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("loomline.work.dir", at)
     return at.rstrip("/")

@@ -27,6 +27,7 @@ def tilt_of(rank: Column) -> Column:
 
 def targets(sources: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
     """``sources(name, source, source_size)`` with weight, tilt and target. One row a source; no document is read.
+    Sources are what a mix has weights for, hundreds or thousands, so their windows may be one task's.
 
     Sources come by code point, null last, and take ``weights`` in turn. A source is capped when its cap's ratio to its
     weight lies below the level at which the others share the rest.
@@ -80,13 +81,13 @@ def mix(
     of at least half counts). ``position`` is the first training time, null for what isn't taken; ``positions`` has one
     for each pass.
 
-    Order within a source: the md5 of the id as text, then of the text. Repeated rows are taken like any others; a null
+    Order within a source: the md5 of the id as text, a space and the text's md5. Repeated rows are taken like any others; a null
     id counts as the text ''; a null source is a source. Documents without words take nothing. Each source is dealt to
     ``cells`` cells, so no task holds a whole source: running sums are over cells, then in a cell. Other columns don't
     enter the result. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
     names = [f"__k{i}" for i in range(len(keep))]
     rows = staged(
         docs.select(
@@ -94,15 +95,13 @@ def mix(
             F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("name"),  # never null
             key.alias("key"),
-            text.alias("__t"),
+            squeezed(text).alias("__w"),
         )
-        .select(*names, "source", "name", "key", squeezed("__t").alias("__w"), F.md5("__t").alias("tie"))
         .select(
             *names,
             "source",
             "name",
             "key",
-            "tie",
             n_words(F.col("__w")).alias("size"),
             (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * cells / 2**32).cast("int").alias("cell"),
         ),
@@ -114,7 +113,7 @@ def mix(
     earlier = Window.partitionBy("name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     per_cell = per_cell.withColumn("cells_before", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)))
     plan = per_cell.join(planned, "name").select("name", "cell", "cells_before", "source_size", "target", "tilt")
-    in_cell = Window.partitionBy("name", "cell").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = Window.partitionBy("name", "cell").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_cell", F.coalesce(F.sum("size").over(in_cell), F.lit(0))).join(plan, ["name", "cell"])
     start = F.col("cells_before") + F.col("in_cell")
     goal = F.round("target").cast("long")
@@ -148,15 +147,15 @@ def mix(
             ).alias("positions"),
         )
     )
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(
-        F.col("position").asc_nulls_last()
-    )
+    # What isn't taken has no position: it stands after the rest, dealt over as many ranges as it needs.
+    place = F.coalesce("position", F.lit(1.5) + F.xxhash64(F.monotonically_increasing_id()) / F.lit(2.0**65))
+    return out.withColumn("__at", place).repartitionByRange("__at").sortWithinPartitions("__at").drop("__at")
 
 
 SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-    md5(coalesce(doc_id::varchar, '')) as k, md5(coalesce(text, '')) as tie from documents),
+    md5(concat_ws(' ', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')))) as k from documents),
 s as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) - 1 as rank
   from d group by source),
@@ -176,7 +175,7 @@ t as (
     else least(source_size * 2.0::double, level * weight) end as target, (rank % 3 - 1) * 0.5::double as tilt from l),
 p as (
   select doc_id, size, source_size, target, tilt, round(target)::bigint as goal,
-    coalesce(sum(size) over (partition by d.source order by k, tie rows between unbounded preceding and 1 preceding), 0)
+    coalesce(sum(size) over (partition by d.source order by k rows between unbounded preceding and 1 preceding), 0)
       as start
   from d join t on d.source is not distinct from t.source),
 q as (

@@ -5,8 +5,8 @@ word has, its length class, whether it repeats the word before, whether a line e
 by the log ratio of its counts in the two classes, vectors have unit length, and a linear model with hinge loss is fitted
 by dual coordinate descent. Margins become scores through a logistic curve fitted on margins of held-back folds.
 
-The fit sees at most ``per_class`` labelled rows of either class, the smallest by a hash of their id; the result is two
-tables of ``2**BITS`` numbers. Scoring covers whole texts of all rows.
+The fit sees at most ``per_class`` labelled documents of either class, the smallest by a hash of their id, and of these
+so many that their features take ``class_bytes`` at most; the result is two tables of ``2**BITS`` numbers. Scoring covers whole texts of all rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 18
@@ -153,7 +153,8 @@ def logistic(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, folds: int = 3) -> Model:
-    """A model of rows of feature numbers and 0/1 labels. With one class only, or none, the score is a constant."""
+    """A model of rows of feature numbers and 0/1 labels. With fewer than ``folds`` rows in a class the score is a constant,
+    the share of label 1."""
     labels = np.asarray(labels, np.int64)
     n = np.bincount(labels, minlength=2)
     if n.min() < folds:
@@ -181,8 +182,14 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     per_class: int = 2500,
+    class_bytes: int = 128 << 20,
 ) -> Model:
-    """Fit on labelled rows that aren't held out: per class at most ``per_class``, the first by a hash of the id."""
+    """Fit on labelled rows that aren't held out: per class at most ``per_class``, the first by a hash of the id, as long as
+    their features fit ``class_bytes`` (the first always does).
+
+    An id that has several texts counts with one of them (the smallest by its md5), an id with both labels with either.
+    Null ids and labels other than 0 and 1 are left out, a null text is an empty one; without rows the score is a half.
+    """
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")
     )
@@ -190,18 +197,26 @@ def train(
     some = known.where("__y = 1").orderBy(*order).limit(per_class).unionByName(
         known.where("__y = 0").orderBy(*order).limit(per_class)
     )
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(some), "__id")
+    some = some.distinct()
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    one = texts.join(F.broadcast(some.select("__id").distinct()), "__id", "left_semi")
+    one = one.groupBy("__id").agg(F.min(F.struct(F.md5("__t").alias("d"), F.col("__t").alias("t")))["t"].alias("__t"))
+    chosen = one.join(F.broadcast(some), "__id").withColumn("__o", F.xxhash64("__id")).select("__id", "__o", "__t", "__y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = Extractor()
         for batch in batches:
-            found = [extract(t.as_py() or "").tobytes() for t in batch.column("__t")]
+            found = [extract(t.as_py()).tobytes() for t in batch.column("__t")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id").cast(pa.string()), batch.column("__y"), pa.array(found, pa.binary())], names=["i", "y", "x"]
+                [batch.column("__id").cast(pa.string()), batch.column("__o"), batch.column("__y"), pa.array(found, pa.binary())],
+                names=["i", "o", "y", "x"],
             )
 
-    got = chosen.mapInArrow(run, "i string, y int, x binary").collect()
-    got.sort(key=lambda r: (r.i, r.y, bytes(r.x)))
+    rows = chosen.mapInArrow(run, "i string, o long, y int, x binary")
+    before = Window.partitionBy("y").orderBy("o", "i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("b", F.sum(F.octet_length("x")).over(before)).withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("o", "i")))
+    got = rows.where((F.col("b") <= class_bytes) | (F.col("k") == 1)).select("i", "y", "x").collect()
+    got.sort(key=lambda r: (r.i, r.y))
     return fit([np.frombuffer(r.x, np.int32) for r in got], np.array([r.y for r in got], np.int64))
 
 

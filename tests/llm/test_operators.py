@@ -395,3 +395,52 @@ def test_vectors_in_a_hot_group_have_all_links(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = (u @ u.T >= 0.9).sum(1) - 1
     assert want.max() > 1500 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_quality_learns_one_row_an_id_within_its_bytes(spark, monkeypatch):
+    rows = [(1, "word " * 30, 1)] * 400 + [(1, "other text", 1)] + [(i, f"Some text {i}." if i % 2 else f"%%% {i}", 1) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int").union(spark.createDataFrame([(None, "x", 1)], "doc_id long, text string, y int"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(4, 1), (None, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)) or fit(x, y))
+    quality.train(docs, labels)
+    quality.train(docs, labels, per_class=3)
+    quality.train(docs, labels, class_bytes=600)
+    allowed = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(seen[0][0]) == len(allowed) + (4 in allowed)
+    assert Counter(seen[1][1].tolist()) == {0: 3, 1: 3}
+    for y in (0, 1):
+        sizes = [x.nbytes for x, label in zip(*seen[2], strict=True) if label == y]
+        assert sizes and (sum(sizes) <= 600 or len(sizes) == 1)
+
+
+def test_mixing_spreads_what_it_does_not_take(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, None, "a")] * 300 + [(i, "w " * (i % 9), "a" if i % 20 else "b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all of so few rows are one partition
+    try:
+        got = mixing.mix(df).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = Counter(x.p for x in got)
+    assert len(parts) > 1 and max(parts.values()) < 0.6 * len(got)
+    taken = [x.position for x in got if x.position is not None]
+    assert taken == sorted(taken) and all(x.position is None for x in got[len(taken):])
+
+
+def test_without_a_shared_folder_a_cluster_is_told(spark, monkeypatch):
+    from loomline.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://a:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.work_dir(Session())
