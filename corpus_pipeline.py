@@ -3,7 +3,9 @@
 Quality rejects go; of each group of near copies one document stays; sources are mixed to their target weights, a
 document standing once for each pass at its training position; what is left is encoded.
 
-A document is an id with a text. Rows that repeat both count as one from the second stage on.
+A document is an id with a text. Rows that repeat both count as one from the second stage on. In all stages a null text
+is an empty one, a null id an id like others (it comes last among equals, and no label is learned from it), and an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from loomline.llm.simhash import simhash_components
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good (score >= 0.5), with all their columns."""
+    """Documents that the classifier takes for good (score >= 0.5), with all their columns. A score of just 0.5 stays;
+    without usable labels all do."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
@@ -45,7 +48,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix passes it, sorted by training position."""
+    """Each document as many times as the mix passes it, sorted by training position; those without words, and those of
+    which less than half is taken, not at all. A null source is a source."""
     rows = _keyed(docs)
     plan = mixing.mix(rows, keep=("__key",)).where("passes > 0").groupBy("__key")
     plan = plan.agg(F.flatten(F.collect_list("positions")).alias("__p"))
@@ -55,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text, for each row."""
+    """doc_id, n_tokens and digests of the ids and of the decoded text, for each row, repeated ones too."""
     return piece_digests(piece_codec(docs))
 
 
