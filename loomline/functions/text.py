@@ -73,6 +73,16 @@ def relativize(line: Column, cwd: Column, home: Column) -> Column:
 
 #: Signs between the groups of a match while a line is masked; they are taken out of it.
 MARKS = [chr(0xF8F0 + i) for i in range(len(P.MASKS) + 1)]
+#: Such signs of the line itself stand for the time as this one and a second sign that no mask looks at.
+ESCAPE = chr(0xF8EE)
+ESCAPED = {c: ESCAPE + chr(0x2800 + i) for i, c in enumerate([ESCAPE, *MARKS])}
+
+
+def _escaped(line: Column, back: bool = False) -> Column:
+    out = line
+    for c, put in reversed(ESCAPED.items()) if back else ESCAPED.items():
+        out = F.replace(out, F.lit(put if back else c), F.lit(c if back else put))
+    return F.when(line.rlike(f"[{ESCAPE}{MARKS[0]}-{MARKS[-1]}]"), out).otherwise(line)
 
 
 def mask(line: Column) -> Column:
@@ -82,7 +92,7 @@ def mask(line: Column) -> Column:
     kind's name. A hexadecimal word needs a digit, and a number at least two.
     """
     pattern = f"(?d)(?={P.MASK_START})(?:{P.MASK})"
-    out = F.regexp_replace(line, pattern, "".join(f"{m}${g}" for g, m in enumerate(MARKS[:-1], 1)) + MARKS[-1])
+    out = F.regexp_replace(_escaped(line), pattern, "".join(f"{m}${g}" for g, m in enumerate(MARKS[:-1], 1)) + MARKS[-1])
     for (name, _), here, after in zip(P.MASKS, MARKS[:-1], MARKS[1:], strict=True):
         if name == "<HEX>":
             out = F.regexp_replace(out, f"{here}[0-9]+(?={after})", "<N>")
@@ -92,7 +102,7 @@ def mask(line: Column) -> Column:
         else:
             out = F.regexp_replace(out, f"{here}[^{after}]+", name)
     out = F.regexp_replace(out, f"[{MARKS[0]}-{MARKS[-1]}]", "")
-    return F.when(line.rlike("[0-9]"), out).otherwise(line)
+    return F.when(line.rlike("[0-9]"), _escaped(out, back=True)).otherwise(line)
 
 
 def message_key(text: Column) -> Column:

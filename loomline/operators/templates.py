@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +30,11 @@ def log_gate(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def exact(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per masked line: cnt, first_pos, last_pos, example, is_err."""
+    """One row per masked line: cnt, first_pos, last_pos, example, is_err. Null lines are none; of lines that stand at one
+    position, repeated rows, any is the example."""
     return (
-        lines.withColumn("template", mask(F.col("line")))
+        lines.where("line is not null")
+        .withColumn("template", mask(F.col("line")))
         .groupBy(*keys, "template")
         .agg(
             F.count("*").alias("cnt"),
@@ -99,11 +101,13 @@ def _merge(rows: list[tuple[list[str], int, int]]) -> list[list]:
     return out
 
 
-def merged(lines: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 64) -> DataFrame:
-    """Templates after the merge: template, cnt, first_pos, n_forms, example, level.
+def merged(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Templates after the merge: template, cnt, first_pos, n_forms, example, is_err.
 
     Equal masked lines are aggregated first, so the ordered merge sees distinct forms only. It runs by key (level, class,
-    number of tokens, first two words), for which it is independent; keys are dealt to ``buckets`` tasks by hash. Errors only merge with equal words.
+    number of tokens, first two words), for which it is independent: rows are partitioned and sorted by it and read as a
+    stream, so a task holds the templates of one key, and Spark sizes the tasks. Errors only merge with equal words. Null
+    lines are none; an empty table gives none.
     """
     forms = exact(lines, keys).withColumn("toks", F.split("template", " ", -1))
     words = F.filter("toks", lambda t: t.rlike("^[^0-9<]*[A-Za-z][^0-9<]*$"))
@@ -115,24 +119,47 @@ def merged(lines: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 64) -> D
         F.when(F.col("is_err"), F.array_join(words, " ")).otherwise(F.array_join(F.slice(words, 1, 2), " ")),
     )
     cols = [*keys, "grp", "toks", "cnt", "first_pos", "example", "is_err"]
-    schema = forms.withColumn("grp", group).select(*cols)
-    kinds = {f.name: f.dataType.simpleString() for f in schema.schema.fields}
-    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, part in pdf.sort_values(["first_pos", "example"]).groupby([*keys, "grp"], sort=False, dropna=False):
-            examples = dict(zip(part["first_pos"], part["example"], strict=True))
-            found = _merge(list(zip(map(list, part["toks"]), part["cnt"], part["first_pos"], strict=True)))
-            head, err = {k: part[k].iloc[0] for k in keys}, bool(part["is_err"].iloc[0])
-            for toks, cnt, first, n, _ in found:
-                rows.append({**head, "template": " ".join(toks), "cnt": cnt, "first_pos": first, "n_forms": n,
-                             "example": examples[first], "is_err": err})
-        return pd.DataFrame(rows)
-
-    dealt = schema.withColumn("__b", F.pmod(F.xxhash64(*keys, "grp"), F.lit(buckets)))
-    return dealt.groupBy("__b").applyInPandas(
-        run, f"{out}, template string, cnt long, first_pos long, n_forms long, example string, is_err boolean"
+    rows = forms.withColumn("grp", group).select(*cols)
+    dealt = rows.repartition(*keys, "grp").sortWithinPartitions(*keys, "grp", "first_pos", "example")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    names = [*keys, "template", "cnt", "first_pos", "n_forms", "example", "is_err"]
+
+    def out(key: tuple, group: list, like: pa.RecordBatch) -> pa.RecordBatch:
+        found = _merge([(x["toks"], x["cnt"], x["first_pos"]) for x in group])
+        examples = {x["first_pos"]: x["example"] for x in reversed(group)}
+        n = len(found)
+        heads = [pa.array([v] * n, like.schema.field(k).type) for k, v in zip(keys, key, strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [
+                *heads,
+                pa.array([" ".join(t[0]) for t in found], pa.string()),
+                pa.array([t[1] for t in found], pa.int64()),
+                pa.array([t[2] for t in found], pa.int64()),
+                pa.array([t[3] for t in found], pa.int64()),
+                pa.array([examples[t[2]] for t in found], pa.string()),
+                pa.array([group[0]["is_err"]] * n, pa.bool_()),
+            ],
+            names=names,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, ready, batch = None, [], [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in (*keys, "grp"))
+                if group and own != key:
+                    ready.append(out(key, group, batch))
+                    group = []
+                key = own
+                group.append(row)
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready = []
+        if group:
+            yield out(key, group, batch)
+
+    return dealt.mapInArrow(
+        run, f"{kinds}, template string, cnt long, first_pos long, n_forms long, example string, is_err boolean"
     )
 
 

@@ -33,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def re2(pattern: str) -> str:
     """A pattern in the dialect of RE2, quoted for SQL."""
-    out = pattern.replace(P.B, r"\b").replace(P.L, r"\b").replace(P.R, r"\b").replace("(?diu)", "(?i)").replace("(?dm)", "(?m)").replace("(?d)", "")
+    out = pattern.replace(P.WORD, "").replace(P.B, r"\b").replace(P.L, r"\b").replace(P.R, r"\b")
+    out = out.replace("(?di)", "(?i)").replace("(?dm)", "(?m)").replace("(?d)", "")
     return out.replace("'", "''")
 
 
