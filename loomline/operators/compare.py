@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,17 @@ KEYS = ("run_id",)
 
 
 def missing_errors(lines: DataFrame, view: DataFrame, keys: Sequence[str] = KEYS, most: int | None = None) -> DataFrame:
-    """Distinct error lines (white space squashed) of ``lines`` that no line of ``view`` equals: keys, pos, line.
+    """Distinct error lines (white space squashed) of ``lines`` that no line of ``view`` equals or holds: keys, pos, line.
 
-    ``most`` keeps the first so many of a run: the guard's report; ``n_missing`` counts all.
+    Null lines are none. What no line equals is then looked for within the run's longer lines. ``most`` keeps the first so many of a run: the guard's report; ``n_missing`` counts all.
     """
     errors = lines.where(level(F.col("line")) == ERR).withColumn("__s", squash(F.col("line")))
     first = errors.groupBy(*keys, "__s").agg(F.min("pos").cast("long").alias("pos"), F.min_by("line", "pos").alias("line"))
     shown = view.select(*keys, squash(F.col("line")).alias("__s")).distinct()
-    lost = first.join(shown, [*keys, "__s"], "left_anti").drop("__s")
+    lost = first.join(shown, [*keys, "__s"], "left_anti")
+    held = shown.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__s").alias("__v"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
+    lost = lost.join(held, same & F.col("__v").contains(F.col("__s")), "left_anti").drop("__s")
     lost = lost.withColumn("n_missing", F.count("*").over(Window.partitionBy(*keys)))
     if most is None:
         return lost
@@ -63,9 +67,10 @@ def unseen(view: DataFrame, known: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     return view.withColumn("__l", loose).join(seen, [*keys, "__l"], "left_anti").drop("__l")
 
 
-def previous(runs: DataFrame, same: Sequence[str], time: str, value: Column, name: str = "previous") -> DataFrame:
-    """As-of: ``value`` of the newest earlier run with the same columns ``same``."""
-    return runs.withColumn(name, F.lag(value).over(Window.partitionBy(*same).orderBy(time)))
+def previous(runs: DataFrame, same: Sequence[str], time: str, value: Column, name: str = "previous", tie: str = "run_id") -> DataFrame:
+    """As-of: ``value`` of the newest earlier run with the same columns ``same``; of runs at one time the smaller ``tie`` is
+    the earlier. Null times come first."""
+    return runs.withColumn(name, F.lag(value).over(Window.partitionBy(*same).orderBy(time, tie)))
 
 
 def acted_within(

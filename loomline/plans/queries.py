@@ -12,6 +12,7 @@ from loomline.functions.tokens import estimate, quarter_bytes
 from loomline.operators import budget, compare, history, lines as L, stacks, tables, templates
 from loomline.plans.condense import Options, condense
 from loomline.readers import apply, assign
+from loomline.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -378,15 +379,15 @@ def pressure_budget(spark, sf_dir):
 
 
 @query(
-    """select conv_id, mode, case mode when 'error' then 12000 when 'debug' then 16000 when 'verify' then 4000
-    when 'minimal' then 2000 else 8000 end::bigint as budget from (select conv_id,
-    ['auto', 'error', 'debug', 'verify', 'minimal'][conv_id % 5 + 1] as mode from conversations where turn = 0)"""
+    """select conv_id, turn, mode, case mode when 'error' then 12000 when 'debug' then 16000 when 'verify' then 4000
+    when 'minimal' then 2000 else 8000 end::bigint as budget from (select conv_id, turn,
+    ['auto', 'error', 'debug', 'verify', 'minimal'][(conv_id + turn) % 5 + 1] as mode from conversations)"""
 )
 def mode_budget(spark, sf_dir):
     names = F.array(*[F.lit(m) for m in ("auto", "error", "debug", "verify", "minimal")])
-    first = table(spark, sf_dir, "conversations").where("turn = 0")
-    first = first.select("conv_id", F.get(names, (F.col("conv_id") % 5).cast("int")).alias("mode"))
-    return first.withColumn("budget", budget.mode_budget(F.lit(8000), F.col("mode")))
+    mode = F.get(names, ((F.col("conv_id") + F.col("turn")) % 5).cast("int"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", mode.alias("mode"))
+    return turns.withColumn("budget", budget.mode_budget(F.lit(8000), F.col("mode")))
 
 
 # --- joins
@@ -396,7 +397,8 @@ def mode_budget(spark, sf_dir):
     f"""with {LOGS}, e as (select run_id, {SQUASHED.format('line')} as s, min(pos) as pos, arg_min(line, pos) as line
       from logs where {LEVEL} = 2 group by 1, 2),
     v as (select run_id, {SQUASHED.format('line')} as s from logs where pos < 20),
-    x as (select run_id, pos, line, count(*) over (partition by run_id) as n_missing from e anti join v using (run_id, s))
+    x as (select run_id, pos, line, count(*) over (partition by run_id) as n_missing from e
+      where not exists (select 1 from v where v.run_id = e.run_id and contains(v.s, e.s)))
     select * from x qualify row_number() over (partition by run_id order by pos) <= 40"""
 )
 def guard_missing(spark, sf_dir):
@@ -445,11 +447,11 @@ def unseen_lines(spark, sf_dir):
 
 
 @query(
-    """select event_id, user_id, event_type, lag(event_id) over (partition by user_id, event_type order by ts) as previous from events"""
+    """select event_id, user_id, event_type, lag(event_id) over (partition by user_id, event_type order by ts, event_id) as previous from events"""
 )
 def asof_previous(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return compare.previous(events, ["user_id", "event_type"], "ts", F.col("event_id")).select(
+    return compare.previous(events, ["user_id", "event_type"], "ts", F.col("event_id"), tie="event_id").select(
         "event_id", "user_id", "event_type", "previous"
     )
 
@@ -648,13 +650,15 @@ def gain_by_cmd(spark, sf_dir):
 
 
 @query(
-    f"""with {H}, d as (select t::date as day, {GAIN} from h where raw > 20000 group by 1),
+    f"""with {H}, d as (select t::date + datediff('day', date '2000-01-01', t::date)::int as day, {GAIN} from h group by 1),
     s as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from d)
     select strftime(s.day, '%Y-%m-%d') as day, coalesce(n, 0) as n, coalesce(raw, 0) as raw, coalesce(out, 0) as out, coalesce(saved, 0) as saved,
     coalesce(pct, 0) as pct, coalesce(failures, 0) as failures from s left join d on s.day = d.day"""
 )
 def gain_daily_dense(spark, sf_dir):
-    found = history.daily(runs(spark, sf_dir).where("raw > 20000"))
+    """All runs, their days twice as far apart, so that each second one has none."""
+    apart = F.expr("cast(date_add(cast(t as date), datediff(cast(t as date), date '2000-01-01')) as timestamp_ntz)")
+    found = history.daily(runs(spark, sf_dir).withColumn("t", apart))
     return found.withColumn("day", F.col("day").cast("string"))
 
 
@@ -665,7 +669,6 @@ def gain_daily_dense(spark, sf_dir):
     coalesce(pct, 0) as pct, coalesce(failures, 0) as failures from s left join d on s.day = d.day"""
 )
 def gain_daily(spark, sf_dir):
-    """All runs; gain_daily_dense has those of more than 20,000 only."""
     return history.daily(runs(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
@@ -706,9 +709,13 @@ def retention(spark, sf_dir):
     return kept.select("id", "user_id")
 
 
-@query("select user_id, max(event_id) as id, count(*) as n from events group by 1")
+@query(
+    """select user_id, event_id, ts from (select * from events qualify row_number() over (partition by user_id
+    order by ts desc, event_id desc) = 1) order by ts desc, user_id desc limit 50"""
+)
 def recent_runs(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("id"), F.count("*").alias("n"))
+    """The list of a store's newest runs: one a user, 50 in all."""
+    return store.newest(table(spark, sf_dir, "events"), 50, "ts", "user_id", "event_id").select("user_id", "event_id", "ts")
 
 
 @query(

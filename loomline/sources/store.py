@@ -50,17 +50,21 @@ def write_runs(runs: DataFrame, path: str, time: str = "t") -> None:
     runs.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_runs(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """The store's runs; ``since`` (a date) prunes partitions. A run stored twice is taken once, as last written."""
+def latest(runs: DataFrame, time: str = "t", key: str = "run_id", tie: str | None = None) -> DataFrame:
+    """Each id's newest row; of rows at one time the one with the largest ``tie``, else any."""
+    order = [F.desc_nulls_last(time), *([F.desc(tie)] if tie else [])]
+    return runs.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__i = 1").drop("__i")
+
+
+def read_runs(spark: SparkSession, path: str, since: str | None = None, time: str = "t", key: str = "run_id") -> DataFrame:
+    """The store's runs; ``since`` (a date) prunes partitions. A run stored twice is taken once, the newest."""
     runs = spark.read.parquet(path)
-    return runs.where(F.col("day") >= F.lit(since).cast("date")) if since else runs
+    return latest(runs.where(F.col("day") >= F.lit(since).cast("date")) if since else runs, time, key)
 
 
-def newest(runs: DataFrame, n: int, time: str = "t", key: str = "run_id") -> DataFrame:
-    """The ``n`` newest runs, each id once."""
-    last = Window.partitionBy(key).orderBy(F.desc(time))
-    once = runs.withColumn("__i", F.row_number().over(last)).where("__i = 1").drop("__i")
-    return once.orderBy(F.desc(time), F.desc(key)).limit(n)
+def newest(runs: DataFrame, n: int, time: str = "t", key: str = "run_id", tie: str | None = None) -> DataFrame:
+    """The ``n`` newest runs, each id once; at one time the larger id comes first."""
+    return latest(runs, time, key, tie).orderBy(F.desc(time), F.desc(key)).limit(n)
 
 
 def read_history(spark: SparkSession, path: str, since: int | None = None) -> DataFrame:
