@@ -319,6 +319,9 @@ def test_license_notices_wrapped_over_lines(spark):
     texts = [mit, bsd, gpl, far, cut, "word " * 3000 + gpl + " word" * 3000, mit + "\n\n" + bsd]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in license_scan(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert got == {i: (labels, score) for i, labels, score in con.execute(f"select doc_id, labels, score from ({license_sql.sql()})").fetchall()}
     assert got == {
         0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("gpl,gpl-notice", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("gpl,gpl-notice", 1.0), 6: ("bsd,mit", 1.0),
     }
