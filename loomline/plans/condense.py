@@ -1,8 +1,9 @@
 """The engine over many runs, ``runs(run_id, command, exit, raw)`` to one view a run; README lists what it lacks.
 
-Clean, count, keep small outputs whole; else a reader by the command, or templates for logs, or the plain shape (progress
-dropped, runs collapsed, goroutines grouped, stacks folded, similar lines collapsed, lines shortened); then the budget, the guard that puts lost
-error lines back, and last the gate that never gives more than nine tenths of what came in.
+Clean, count, keep small outputs whole; else a reader by the command or by marks in the output, a table for JSON above the
+budget, templates for logs, lists of paths by directory, or the plain shape (progress dropped, runs collapsed, goroutines
+grouped, stacks folded, similar lines collapsed, lines shortened); then the budget, the guard that puts lost error lines
+back (JSON and path lists are content, without guard), and last the gate that never gives more than nine tenths of what came in.
 
 A run's lines stay in one partition of its id through all window functions; branches are filters on one column, and rows
 of other branches never reach a branch's functions.
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from loomline.functions.classify import ERR, is_progress, level
 from loomline.functions.text import clean, shorten
 from loomline.functions.tokens import estimate
-from loomline.operators import budget as B, compare, lines as L, stacks, templates
-from loomline.readers import apply, assign
+from loomline.operators import budget as B, compare, lines as L, paths as P, stacks, templates
+from loomline.operators.json_tables import json_view
+from loomline.readers import apply, assign, detect
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,8 @@ class Options:
 
 def prepared(runs: DataFrame) -> DataFrame:
     """run_id, command, exit, text, n_raw (tokens), reader, kind."""
-    return assign(
-        runs.select("run_id", "command", "exit", clean(F.coalesce("raw", F.lit(""))).alias("text"))
+    return detect(
+        assign(runs.select("run_id", "command", "exit", clean(F.coalesce("raw", F.lit(""))).alias("text")))
     ).withColumn("n_raw", estimate(F.col("text")))
 
 
@@ -53,27 +55,48 @@ def plain_lines(lines: DataFrame, options: Options) -> DataFrame:
     return out.withColumn("line", shorten(F.col("line"), options.max_line, level(F.col("line")) == ERR))
 
 
+def path_lines(lines: DataFrame) -> DataFrame:
+    """Paths by directory, other lines as they are; of recursive listings the paths alone."""
+    listing = F.col("reader").eqNullSafe(F.lit("ls-recursive"))
+    plain, like = lines.where(~listing), P.is_path_like(F.col("line"))
+    found = plain.where(like).select("run_id", "pos", F.col("line").alias("path")).unionByName(P.recursive_listing(lines.where(listing)))
+    return P.factored_lines(found).unionByName(plain.where(~like & (F.trim("line") != "")).select("run_id", "pos", "line"))
+
+
 def condense(runs: DataFrame, options: Options = Options()) -> DataFrame:
     """run_id, shape, n_raw, n_out, lossy, view for every run. A null output is an empty one; run ids are unique.
 
     Cleaned runs, the kept lines and the shaped ones feed several branches each: they are persisted (spilling to disk,
     recomputed if an executor is lost) until the caller clears the cache.
     """
-    ready = prepared(runs).persist()
+    own = F.col("kind").isNotNull() & (F.col("kind") != "plain")
+    ready = prepared(runs)
+    ready = json_view(ready.withColumn("json", F.when(~own & (F.col("n_raw") > options.budget), F.col("text"))), "json", "json").persist()
     small = F.col("n_raw") <= options.small
     big = ready.where(~small)
-    lines = L.explode(big, "text", ["run_id", "reader", "kind"])
-    gate = templates.log_gate(lines.where("kind is null")).where("is_log_run").select("run_id", F.lit(True).alias("is_log"))
-    lines = lines.join(gate, "run_id", "left")
-    shape = F.when(F.col("kind").isNotNull(), F.col("reader")).when(F.col("is_log"), "log").otherwise("lines")
+    is_json = F.col("json").isNotNull()
+    lines = L.explode(big.withColumn("is_json", is_json), "text", ["run_id", "reader", "kind", "is_json"])
+    general = lines.where(~own & ~F.col("is_json"))
+    gate = templates.log_gate(general).where("is_log_run").select("run_id", F.lit(True).alias("is_log"))
+    listed = P.path_lists(general).where("is_list").select("run_id", "is_list")
+    lines = lines.join(gate, "run_id", "left").join(listed, "run_id", "left")
+    shape = (
+        F.when(own, F.col("reader"))
+        .when(F.col("is_json"), "json")
+        .when(F.col("is_log"), "log")
+        .when(F.col("is_list") | (F.col("reader") == "ls-recursive"), "paths")
+        .otherwise("lines")
+    )
     lines = lines.withColumn("shape", shape).persist()
     base = ["run_id", "pos", "line"]
-    read = apply(lines.where("kind is not null")).select(*base)
+    read = apply(lines.where(own)).select(*base)
     logs = log_lines(lines.where("shape = 'log'").select(*base))
+    listed = path_lines(lines.where("shape = 'paths'"))
+    tables = L.explode(big.where(is_json), "json", ["run_id"])
     plain = plain_lines(lines.where("shape = 'lines'").select(*base), options)
-    shaped = read.unionByName(logs).unionByName(plain)
+    shaped = read.unionByName(logs).unionByName(listed).unionByName(tables).unionByName(plain)
     kept = B.pick(shaped.persist(), options.budget).persist()
-    lost = compare.missing_errors(lines.select(*base), kept, most=options.guard)
+    lost = compare.missing_errors(lines.where("shape not in ('json', 'paths')").select(*base), kept, most=options.guard)
     noted = lost.select("run_id", (F.col("pos") + F.lit(1 << 30)).cast("int").alias("pos"), "line")
     held = F.array_sort(F.collect_list(F.struct("pos", "line")))
     views = kept.select(*base).unionByName(noted).groupBy("run_id").agg(

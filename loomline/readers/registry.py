@@ -1,12 +1,13 @@
 """What a reader is, which run it reads, and how each kind rewrites lines.
 
-A reader is a name, a pattern on the command and one of five kinds:
+A reader is a name, a pattern on the command and one of six kinds:
 
 * ``whole``: its output is data; nothing is left out;
 * ``noise``: lines of given patterns are counted in one note at the first one's place;
 * ``repeat``: lines equal up to a pattern appear once, with their number;
 * ``prefix``: lines up to a token cap, then how many are left;
-* ``table``: long tables keep the rows that need a look, and counts by the status column.
+* ``table``: long tables keep the rows that need a look, and counts by the status column;
+* ``plain``: no rewriting of its own; the engine's general shapes (paths, logs, stacks, JSON) take it.
 
 Error lines are never dropped or counted away. Runs of all readers go through one plan: a run's reader is a column, and
 each kind is one branch, whichever readers it serves.
@@ -67,6 +68,7 @@ _add("repeat", "git-remote", r"git remote -v", same=r"\s+\((?:fetch|push)\)$")
 _add("prefix", "git-tag", r"git tag\b", cap=4000)
 _add("prefix", "git-branch", r"git branch\b", cap=4000)
 _add("prefix", "git-diff", r"git diff\b")
+_add("noise", "go-test-json", r"go test\b.* -json\b", noise=((r'^\{.*"Action":"(?:start|run|pause|cont|pass|skip)"', "events"), (r'^\{.*"Action":"output".*"Output":"(?:=== |--- PASS|PASS|ok )', "events of passed tests")))
 _add("noise", "go-test", r"go test\b", noise=((r"^=== (?:RUN|PAUSE|CONT|NAME)\s", "run lines"), (r"^\s*--- PASS", "passed tests"), (r"^ok\s", "packages ok"), (r"^\?\s.*\[no test files\]", "packages without tests")))
 _add("repeat", "go-build", r"go (?:build|vet)\b")
 _add("noise", "go-mod", r"go (?:mod|get)\b", noise=((r"^go: (?:downloading|finding|extracting) ", "modules fetched"),))
@@ -90,13 +92,19 @@ _add("whole", "pip-list", r"(?:python3? -m )?pip3? list\b")
 _add("whole", "pip-show", r"(?:python3? -m )?pip3? show\b")
 _add("repeat", "mypy", r"(?:python3? -m )?mypy\b", same=r"^\S+:\d+: note: ")
 _add("noise", "ruff", r"ruff\b", noise=((r"^\s*\d* ?\|", "source lines"),))
-_add("prefix", "find", r"(?:find|fd)\b", cap=4000)
-_add("prefix", "rg-files", r"rg --files\b", cap=4000)
+_add("noise", "python", r"python3? (?!-m )\S+\.py\b", noise=((r'^  File ".*(?:site-packages|dist-packages|/lib/python\d)', "library frames"),))
+_add("plain", "node-crash", r"node (?!-)\S+\.[cm]?js\b")
+_add("plain", "find", r"(?:find|fd)\b")
+_add("plain", "rg-files", r"rg --files\b")
+_add("plain", "ls-recursive", r"ls\b(?=.* -[0-9A-Za-z]*R|.* --recursive)")
+_add("prefix", "du", r"du\b", cap=4000)
 _add("prefix", "tree", r"tree\b", cap=4000)
 _add("prefix", "ls", r"ls\b", cap=3000)
 _add("prefix", "search", r"(?:grep|egrep|fgrep|rg|git grep)\b", cap=4000)
 _add("prefix", "cat", r"(?:cat|head|tail|bat)\b", cap=8000)
 _add("noise", "curl", r"curl\b", noise=((r"^\s*(?:% Total|Dload|\d+ +\d)", "meter lines"), (r"^[*] ", "connection lines")))
+_add("noise", "httpie", r"(?:http|https|xh)\b", noise=((r"(?i)^(?:accept|accept-encoding|connection|user-agent|host|content-length|date|server|vary|etag|cache-control|set-cookie): ", "header lines"),))
+_add("plain", "jq", r"(?:jq|yq)\b")
 _add("noise", "wget", r"wget\b", noise=((r"^\s*\d+K .*\d+%|\d+%\[", "progress lines"), (r"^(?:Resolving|Connecting to|Reusing) ", "connection lines")))
 _add("noise", "make", r"(?:make|cmake|ninja)\b", noise=((r"^(?:gcc|g\+\+|cc|clang|clang\+\+|ar|ld) ", "compiler commands"), (r"^\[\s*\d+(?:%|/\d+)\] ", "build steps"), (r"^make(?:\[\d+\])?: (?:Entering|Leaving) directory", "directory lines")))
 _add("repeat", "cc", r"(?:gcc|g\+\+|cc|clang|clang\+\+)\b", same=r"^\S+:\d+(?::\d+)?: ")
@@ -105,9 +113,14 @@ _add("noise", "maven", r"(?:mvn|mvnw|\./mvnw)\b", noise=((r"^(?:\[INFO\] )?(?:Do
 _add("noise", "gradle", r"(?:gradle|gradlew|\./gradlew)\b", noise=((r"^> Task \S+(?: UP-TO-DATE| NO-SOURCE| FROM-CACHE)?$", "tasks"), (r"^Download ", "downloads")))
 _HEALTHY = r"(?i)\b(?:running|up|healthy|completed|active|bound|ready|available|success|pass)\b"
 _add("table", "docker-ps", r"(?:docker|podman) (?:ps|images|volume ls|network ls)\b", healthy=_HEALTHY)
+_add("table", "kubectl-events", r"(?:kubectl|oc) (?:get (?:events?|ev)\b|events\b)", healthy=r"\bNormal\b", status=2)
+_add("plain", "logs", r"(?:(?:docker|podman)(?: compose| container| service)? logs|(?:kubectl|oc) logs|journalctl)\b")
 _add("table", "kubectl-get", r"(?:kubectl|oc) get\b", healthy=_HEALTHY, status=3)
 _add("prefix", "kubectl-describe", r"(?:kubectl|oc) describe\b")
 _add("table", "gh-list", r"gh (?:run|pr|issue) list\b", healthy=_HEALTHY)
+_add("plain", "gh-run-log", r"gh run view\b.*--log")
+_add("noise", "gh-run-view", r"gh run (?:view|watch)\b", noise=((r"^\s*✓ ", "passed steps"), (r"^Refreshing run status", "refreshes")))
+_add("repeat", "monorepo", r"(?:turbo|nx|lerna)\b", same=r"^\S+:\S+: ")
 _add("table", "pr-checks", r"gh pr checks\b", healthy=_HEALTHY, status=2)
 _add("noise", "docker-build", r"(?:docker|podman) (?:build|buildx)\b", noise=((r"^#\d+ (?:sha256:|extracting|transferring|DONE|CACHED)", "layer lines"), (r"^(?: ---> | ---> Running in )", "layer lines")))
 _add("noise", "docker-pull", r"(?:docker|podman) (?:pull|push)\b", noise=((r"^[0-9a-f]{12}: ", "layer lines"),))
@@ -183,6 +196,7 @@ def _table(lines: DataFrame, readers: Sequence[Reader], keys: Sequence[str], lon
     return marked.where("not __ok or __first").withColumn("line", F.when(F.col("__ok"), note).otherwise(F.col("line")))
 
 
+#: What ``apply`` rewrites; ``whole`` and ``plain`` lines pass.
 KINDS = {"noise": _noise, "repeat": _repeat, "prefix": _prefix, "table": _table}
 
 

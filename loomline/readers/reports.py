@@ -239,3 +239,113 @@ def tracebacks(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *keys, "pos", group(RAISED, 1, F.col("__r")).alias("error"), group(RAISED, 2, F.col("__r")).alias("message"), "n_frames",
         group(FRAME, 1, F.col("__f")).alias("file"), number(group(FRAME, 2, F.col("__f"))).alias("at_line"), group(FRAME, 3, F.col("__f")).alias("function"),
     )
+
+
+# --- histories of lines, versions, events
+
+BLAME = r"^(\^?[0-9a-f]{7,40}) (?:\S+ +)?\((.*?) +(\d{4}-\d{2}-\d{2}(?: [\d:]+ [+-]\d{4})?) +(\d+)\) ?(.*)$"
+
+
+def blame_runs(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, pos, sha, author, date, first_line, n_lines, is_first: neighbouring lines of one commit; ``is_first`` marks the
+    commit's first stretch, where author and date are told."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    rows = parsed(lines, BLAME, ["sha", "author", "date", "at_line"], keys)
+    rows = rows.withColumn("__new", F.when(F.lag("sha").over(w) == F.col("sha"), 0).otherwise(1))
+    rows = rows.withColumn("__run", F.sum("__new").over(w)).withColumn("at_line", number(F.col("at_line")))
+    out = rows.groupBy(*keys, "__run", "sha", "author", "date").agg(
+        F.min("pos").alias("pos"), F.min("at_line").alias("first_line"), F.count("*").alias("n_lines")
+    )
+    first = F.min("pos").over(Window.partitionBy(*keys, "sha")) == F.col("pos")
+    return out.select(*keys, "pos", "sha", "author", "date", "first_line", "n_lines", first.alias("is_first"))
+
+
+LOCKED = r"^([+-])\s*(\S+) v?([0-9][^\s/]*)(?:/go\.mod)? (?:h1:\S+)$"
+
+
+def lock_changes(lines: DataFrame, pattern: str = LOCKED, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, package, state (changed, added, removed), old, new: versions on removed against versions on added lines.
+
+    A version on both sides didn't change. One version gone and one come are a change; others are told one by one."""
+    rows = parsed(lines, pattern, ["side", "package", "version"], keys)
+    both = rows.groupBy(*keys, "package", "version").agg(F.max(F.col("side") == "-").alias("__gone"), F.max(F.col("side") == "+").alias("__came"))
+    both = both.where(F.col("__gone") != F.col("__came"))
+    w = Window.partitionBy(*keys, "package")
+    one = (F.count_if("__gone").over(w) == 1) & (F.count_if("__came").over(w) == 1)
+    other = F.max(F.when(F.col("__gone"), F.col("version"))).over(w)
+    both = both.withColumn("__one", one).withColumn("__old", other).where(~F.col("__one") | F.col("__came"))
+    state = F.when(F.col("__one"), "changed").when(F.col("__came"), "added").otherwise("removed")
+    old = F.when(F.col("__one"), F.col("__old")).when(F.col("__gone"), F.col("version"))
+    return both.select(*keys, "package", state.alias("state"), old.alias("old"), F.when(F.col("__came"), F.col("version")).alias("new"))
+
+
+EVENT = "struct<Action:string,Package:string,Test:string,Output:string,Elapsed:double>"
+
+
+def go_test_events(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, package, test ('' for the package itself), state (the last of pass, fail and skip; 'unfinished' without one),
+    output: the text of tests that failed or didn't finish, in order."""
+    # the field names differ from others by case only in other schemas: they are read as they stand
+    event = F.from_json("line", EVENT)
+    rows = lines.where(F.col("line").startswith("{")).select(*keys, "pos", event.alias("e")).where("e.Action is not null and e.Package is not null")
+    rows = rows.select(*keys, "pos", F.col("e.Action").alias("action"), F.col("e.Package").alias("package"),
+                       F.coalesce("e.Test", F.lit("")).alias("test"), F.col("e.Output").alias("said"))
+    by = [*keys, "package", "test"]
+    ended = F.col("action").isin("pass", "fail", "skip")
+    state = rows.groupBy(*by).agg(F.coalesce(F.max_by(F.when(ended, F.col("action")), F.when(ended, F.col("pos"))), F.lit("unfinished")).alias("state"))
+    bad = state.where("state not in ('pass', 'skip')")
+    held = F.array_sort(F.collect_list(F.struct("pos", "said")))
+    said = rows.where("action = 'output'").join(bad.select(*by), by, "left_semi").groupBy(*by).agg(
+        F.array_join(F.transform(held, lambda x: x["said"]), "").alias("output")
+    )
+    return state.join(said, by, "left").select(*by, "state", F.coalesce("output", F.lit("")).alias("output"))
+
+
+def merged_events(events: DataFrame, keys: Sequence[str] = KEYS, most: int = 60, normal: int = 20) -> DataFrame:
+    """Events (keys, pos, type, reason, object, message) with equal ones merged into the last: keys, pos, ..., n, shown.
+
+    Where more than ``most`` stay, of the normal ones the last ``normal`` are shown; the others are for ``hidden_events``."""
+    same = [*keys, "type", "reason", "object", "message"]
+    rows = events.groupBy(*same).agg(F.max("pos").alias("pos"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*keys)
+    recent = F.row_number().over(Window.partitionBy(*keys, "type").orderBy(F.desc("pos")))
+    shown = (F.count("*").over(whole) <= most) | (F.col("type") != "Normal") | (recent <= normal)
+    return rows.withColumn("shown", shown)
+
+
+def hidden_events(merged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, n, summary: events that aren't shown by reason, each with its whole number, the most frequent first."""
+    by = merged.where("not shown").groupBy(*keys, "reason").agg(F.sum("n").alias("k"))
+    held = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("reason").alias("r"))))
+    told = F.array_join(F.transform(held, lambda x: F.concat(x["r"], F.lit(" "), (-x["k"]).cast("string"))), ", ")
+    return by.groupBy(*keys).agg(F.sum("k").alias("n"), told.alias("summary"))
+
+
+def last_refresh(lines: DataFrame, heading: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The lines from the last one that ``heading`` matches, with ``n_refreshes``; runs without one give none."""
+    rows = blocks(lines, F.col("line").rlike(heading), keys).where("block > 0")
+    rows = rows.withColumn("n_refreshes", F.max("block").over(Window.partitionBy(*keys)))
+    return rows.where("block = n_refreshes").select(*keys, "pos", "line", "n_refreshes")
+
+
+KLOG = r"^([IWEF])\d{4} \d{2}:\d{2}:\d{2}\.\d{6}\s+\d+ \S+:\d+\] "
+
+
+def tagged_klog(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Lines of runs most of whose lines begin with a klog head, with the level before it in brackets; others as they are."""
+    is_klog = F.col("line").rlike(KLOG)
+    whole = Window.partitionBy(*keys)
+    rows = lines.withColumn("__most", F.count_if(is_klog).over(whole) * 2 > F.count("*").over(whole))
+    line = F.when(F.col("__most") & is_klog, F.concat(F.lit("["), group(KLOG, 1), F.lit("] "), "line")).otherwise(F.col("line"))
+    return rows.withColumn("line", line).drop("__most")
+
+
+COVERAGE = r"^\s*(\S.*?)\s*\|\s*([\d.]+)\s*\|\s*([\d.]+)\s*\|\s*([\d.]+)\s*\|\s*([\d.]+)\s*\|"
+
+
+def low_coverage(lines: DataFrame, below: float = 80.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, pos, file, statements, branches, functions, lines, least: rows of a coverage table with a share below ``below``."""
+    names = ["statements", "branches", "functions", "lines"]
+    rows = parsed(lines, COVERAGE, ["file", *names], keys)
+    rows = rows.select(*keys, "pos", "file", *[F.col(c).cast("double").alias(c) for c in names])
+    return rows.withColumn("least", F.least(*names)).where((F.col("least") < below) & (F.col("file") != "All files"))
