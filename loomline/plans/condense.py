@@ -22,6 +22,7 @@ from loomline.functions.tokens import estimate
 from loomline.operators import budget as B, compare, lines as L, paths as P, stacks, templates
 from loomline.operators.json_tables import json_view
 from loomline.readers import apply, assign, detect
+from loomline.sources.stage import written
 
 
 @dataclass(frozen=True)
@@ -66,12 +67,13 @@ def path_lines(lines: DataFrame) -> DataFrame:
 def condense(runs: DataFrame, options: Options = Options()) -> DataFrame:
     """run_id, shape, n_raw, n_out, lossy, view for every run. A null output is an empty one; run ids are unique.
 
-    Cleaned runs, the kept lines and the shaped ones feed several branches each: they are persisted (spilling to disk,
-    recomputed if an executor is lost) until the caller clears the cache.
+    Cleaned runs, their lines, the shaped and the kept ones feed several branches each: they are written to the shared folder
+    at the call, so a lost executor costs its tasks only, and no plan holds all steps.
     """
     own = F.col("kind").isNotNull() & (F.col("kind") != "plain")
     ready = prepared(runs)
-    ready = json_view(ready.withColumn("json", F.when(~own & (F.col("n_raw") > options.budget), F.col("text"))), "json", "json").persist()
+    ready = json_view(ready.withColumn("json", F.when(~own & (F.col("n_raw") > options.budget), F.col("text"))), "json", "json")
+    ready = written(ready, "runs")
     small = F.col("n_raw") <= options.small
     big = ready.where(~small)
     is_json = F.col("json").isNotNull()
@@ -87,7 +89,7 @@ def condense(runs: DataFrame, options: Options = Options()) -> DataFrame:
         .when(F.col("is_list") | (F.col("reader") == "ls-recursive"), "paths")
         .otherwise("lines")
     )
-    lines = lines.withColumn("shape", shape).persist()
+    lines = written(lines.withColumn("shape", shape).drop("is_log", "is_list"), "lines")
     base = ["run_id", "pos", "line"]
     read = apply(lines.where(own)).select(*base)
     logs = log_lines(lines.where("shape = 'log'").select(*base))
@@ -95,7 +97,7 @@ def condense(runs: DataFrame, options: Options = Options()) -> DataFrame:
     tables = L.explode(big.where(is_json), "json", ["run_id"])
     plain = plain_lines(lines.where("shape = 'lines'").select(*base), options)
     shaped = read.unionByName(logs).unionByName(listed).unionByName(tables).unionByName(plain)
-    kept = B.pick(shaped.persist(), options.budget).persist()
+    kept = written(B.pick(written(shaped, "shaped"), options.budget), "kept")
     lost = compare.missing_errors(lines.where("shape not in ('json', 'paths')").select(*base), kept, most=options.guard)
     noted = lost.select("run_id", (F.col("pos") + F.lit(1 << 30)).cast("int").alias("pos"), "line")
     held = F.array_sort(F.collect_list(F.struct("pos", "line")))
