@@ -200,12 +200,13 @@ def location_counts(spark, sf_dir):
     return places.groupBy("run_id", classify.location_key(F.col("p")).alias("place")).agg(F.count("*").alias("n"))
 
 
-CUES = """case conv_id % 5 when 0 then ' Now let me verify that.' when 1 then ' I will debug this, and find the root cause.'
-  when 2 then ' No need to verify.' when 3 then ' Debugging, then verify.' else '' end"""
+CUES = """case conv_id % 9 when 0 then ' Now let me verify that.' when 1 then ' I will debug this, and find the root cause.'
+  when 2 then ' No need to verify.' when 3 then ' Debugging, then verify.' when 4 then ' Start the debug server.' when 5 then ' Why did the test fail?'
+  when 6 then ' Do not verify or confirm it.' when 7 then ' See whether it builds; not sure, so run the whole suite again.' else '' end"""
 
 
 @query(
-    f"""select conv_id, turn, case conv_id % 5 when 0 then 'verify' when 1 then 'error' else 'auto' end as mode
+    f"""select conv_id, turn, case when conv_id % 9 in (0, 7) then 'verify' when conv_id % 9 in (1, 5) then 'error' else 'auto' end as mode
     from (select conv_id, turn, concat(text, {CUES}) from conversations)"""
 )
 def mode_infer(spark, sf_dir):

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomline.functions import shown
+from loomline.functions import classify, shown
 from loomline.operators import paths
 from loomline.operators.json_tables import json_view
 from loomline.plans.condense import Options, condense
@@ -121,3 +121,12 @@ def test_condense_by_shape(spark):
     assert got[2].view.startswith("[table: 200 items]\nkeys: id, name\nall: state=ready\n0 | node 0")
     assert "[90 passed tests]" in got[3].view and "--- FAIL: TestX" in got[3].view
     assert got[4].view.split("\n")[0] == "./d0/: f{0..49}.txt" and got[5].view == ""
+
+
+def test_modes_by_cues(spark):
+    cases = {
+        "why did the test fail?": "error", "start the debug server": "auto", "debug it": "error", "please verify": "verify",
+        "don't verify, confirm": "auto", "I'm not sure; verify": "verify", "verify, then debug": "auto", "run the tests again": "verify",
+        "verify" + " x" * 300: "auto", "no need to debug at all, but verify": "verify", "no need to debug, but verify": "auto", "": "auto", None: "auto",
+    }
+    assert column(spark, list(cases), classify.mode_of) == list(cases.values())
