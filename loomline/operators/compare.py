@@ -14,12 +14,12 @@ from loomline.functions.text import squash
 KEYS = ("run_id",)
 
 
-def missing_errors(lines: DataFrame, view: DataFrame, keys: Sequence[str] = KEYS, most: int | None = None) -> DataFrame:
+def missing_errors(lines: DataFrame, view: DataFrame, keys: Sequence[str] = KEYS, most: int | None = None, graded: str | None = None) -> DataFrame:
     """Distinct error lines (white space squashed) of ``lines`` that no line of ``view`` equals or holds: keys, pos, line.
 
-    Null lines are none. What no line equals is then looked for within the run's longer lines. ``most`` keeps the first so many of a run: the guard's report; ``n_missing`` counts all.
+    Null lines are none. What no line equals is then looked for within the run's longer lines. ``most`` keeps the first so many of a run: the guard's report; ``n_missing`` counts all. ``graded`` names a column of ``lines`` that holds their level already.
     """
-    errors = lines.where(level(F.col("line")) == ERR).withColumn("__s", squash(F.col("line")))
+    errors = lines.where((level(F.col("line")) if graded is None else F.col(graded)) == ERR).withColumn("__s", squash(F.col("line")))
     first = errors.groupBy(*keys, "__s").agg(F.min("pos").cast("long").alias("pos"), F.min_by("line", "pos").alias("line"))
     shown = view.select(*keys, squash(F.col("line")).alias("__s")).distinct()
     lost = first.join(shown, [*keys, "__s"], "left_anti")

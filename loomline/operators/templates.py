@@ -29,9 +29,10 @@ def log_gate(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def exact(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def exact(lines: DataFrame, keys: Sequence[str] = KEYS, graded: str | None = None) -> DataFrame:
     """One row per masked line: cnt, first_pos, last_pos, example, is_err. Null lines are none; of lines that stand at one
-    position, repeated rows, any is the example."""
+    position, repeated rows, any is the example. ``graded`` names a column that holds the lines' level already."""
+    found = level(F.col("line")) if graded is None else F.col(graded)
     return (
         lines.where("line is not null")
         .withColumn("template", mask(F.col("line")))
@@ -41,7 +42,7 @@ def exact(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             F.min("pos").cast("long").alias("first_pos"),
             F.max("pos").cast("long").alias("last_pos"),
             F.min_by("line", "pos").alias("example"),
-            (F.max(level(F.col("line"))) == ERR).alias("is_err"),
+            (F.max(found) == ERR).alias("is_err"),
         )
     )
 
@@ -101,7 +102,7 @@ def _merge(rows: list[tuple[list[str], int, int]]) -> list[list]:
     return out
 
 
-def merged(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def merged(lines: DataFrame, keys: Sequence[str] = KEYS, graded: str | None = None) -> DataFrame:
     """Templates after the merge: template, cnt, first_pos, n_forms, example, is_err.
 
     Equal masked lines are aggregated first, so the ordered merge sees distinct forms only. It runs by key (level, class,
@@ -109,7 +110,7 @@ def merged(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     stream, so a task holds the templates of one key, and Spark sizes the tasks. Errors only merge with equal words. Null
     lines are none; an empty table gives none.
     """
-    forms = exact(lines, keys).withColumn("toks", F.split("template", " ", -1))
+    forms = exact(lines, keys, graded).withColumn("toks", F.split("template", " ", -1))
     words = F.filter("toks", lambda t: t.rlike("^[^0-9<]*[A-Za-z][^0-9<]*$"))
     group = F.concat_ws(
         "\x01",

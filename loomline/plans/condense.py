@@ -42,8 +42,8 @@ def prepared(runs: DataFrame) -> DataFrame:
 
 
 def log_lines(lines: DataFrame) -> DataFrame:
-    """Template lines in order of first sight, errors with their example."""
-    found = templates.merged(lines)
+    """Of lines with their ``level``: template lines in order of first sight, errors with their example."""
+    found = templates.merged(lines, graded="level")
     said = F.when(F.col("is_err"), F.col("example")).otherwise(F.col("template"))
     n = F.concat(F.lit("[×"), F.col("cnt").cast("string"), F.lit("] "), said)
     return found.select("run_id", F.col("first_pos").cast("int").alias("pos"), F.when(F.col("cnt") > 1, n).otherwise(said).alias("line"))
@@ -89,16 +89,16 @@ def condense(runs: DataFrame, options: Options = Options()) -> DataFrame:
         .when(F.col("is_list") | (F.col("reader") == "ls-recursive"), "paths")
         .otherwise("lines")
     )
-    lines = written(lines.withColumn("shape", shape).drop("is_log", "is_list"), "lines")
+    lines = written(lines.withColumn("shape", shape).withColumn("level", level(F.col("line"))).drop("is_log", "is_list"), "lines")
     base = ["run_id", "pos", "line"]
     read = apply(lines.where(own)).select(*base)
-    logs = log_lines(lines.where("shape = 'log'").select(*base))
+    logs = log_lines(lines.where("shape = 'log'").select(*base, "level"))
     listed = path_lines(lines.where("shape = 'paths'"))
     tables = L.explode(big.where(is_json), "json", ["run_id"])
     plain = plain_lines(lines.where("shape = 'lines'").select(*base), options)
     shaped = read.unionByName(logs).unionByName(listed).unionByName(tables).unionByName(plain)
     kept = written(B.pick(written(shaped, "shaped"), options.budget), "kept")
-    lost = compare.missing_errors(lines.where("shape not in ('json', 'paths')").select(*base), kept, most=options.guard)
+    lost = compare.missing_errors(lines.where("shape not in ('json', 'paths')").select(*base, "level"), kept, most=options.guard, graded="level")
     noted = lost.select("run_id", (F.col("pos") + F.lit(1 << 30)).cast("int").alias("pos"), "line")
     held = F.array_sort(F.collect_list(F.struct("pos", "line")))
     views = kept.select(*base).unionByName(noted).groupBy("run_id").agg(
