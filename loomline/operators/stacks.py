@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.patterns import LIBRARY
-from loomline.operators.lines import by_pos, carry, islands, records
+from loomline.operators.lines import carry, islands, records
 
 KEYS = ("run_id",)
 
@@ -102,7 +102,3 @@ def group_goroutines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     title = F.concat(F.col("__n").cast("string"), F.lit(" goroutines ["), "__states", F.lit("]:"))
     line = F.when(F.col("__in") & F.col("__head") & (F.col("__n") > 1), title).otherwise(F.col("line"))
     return out.select(*keys, "pos", line.alias("line"))
-
-
-def next_line(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return lines.withColumn("next", F.lead("line").over(by_pos(keys)))

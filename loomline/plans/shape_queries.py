@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.functions import shown
+from loomline.functions import shown, text
 from loomline.operators import paths
 from loomline.operators.json_tables import json_view
 from loomline.plans.report_queries import captures, lines_sql
@@ -261,3 +261,26 @@ COVERED = "concat(' src/f', event_id, '.ts | ', event_id % 101, ' | ', (event_id
 )
 def low_coverage(spark, sf_dir):
     return R.low_coverage(captures(spark, sf_dir, COVERED))
+
+
+PLACED = """concat('see ', case event_type when 'click' then '/srv/app/' when 'view' then '/home/u/' when 'error' then 'https://e.com/srv/app/' else '/opt/srv/app/' end, 'm', event_id % 9, '.go:', event_id % 70)"""
+
+
+@query(
+    f"""select event_id, case event_type when 'click' then replace({PLACED}, '/srv/app/', '') when 'view' then replace({PLACED}, '/home/u/', '~/') else {PLACED} end as line from events"""
+)
+def relative_paths(spark, sf_dir):
+    line = F.expr(PLACED)
+    return events(spark, sf_dir).select("event_id", text.relativize(line, F.lit("/srv/app"), F.lit("/home/u")).alias("line"))
+
+
+@query(
+    """with w as (select l_orderkey % 50 as k, concat(l_shipdate::date, '  item ', l_partkey, ' status ', l_linestatus, ' at ', l_returnflag, l_linenumber) as line from lineitem),
+    m as (select k, array_to_string(list_filter(regexp_extract_all(line, '\\S+'), lambda x: not regexp_matches(x, '[0-9]')), ' ') as message from w)
+    select k, message, count(*) as n from m group by 1, 2"""
+)
+def message_kinds(spark, sf_dir):
+    """Lines by their words without digits."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = F.concat(F.to_date("l_shipdate").cast("string"), F.lit("  item "), F.col("l_partkey").cast("string"), F.lit(" status "), "l_linestatus", F.lit(" at "), "l_returnflag", F.col("l_linenumber").cast("string"))
+    return lines.select((F.col("l_orderkey") % 50).alias("k"), text.message_key(line).alias("message")).groupBy("k", "message").agg(F.count("*").alias("n"))
